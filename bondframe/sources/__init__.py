@@ -1 +1 @@
-
+"""Readers and writers of molecule tables."""
