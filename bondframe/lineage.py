@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,17 +29,50 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
     The result's lineage starts at files, so a lost executor costs a reread
-    and not the work before it. The table goes when the driver ends.
+    and not the work before it. The table goes when the driver ends, or with
+    the ``scratch`` block it was made in. ``sweep`` also lets go of the
+    shuffle files that led to it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     atexit.register(drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if sweep:
+        gc.collect()
+        spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose tables are dropped at its end, but for those given to ``keep``."""
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._table)
+        return df
+
+    _OPEN.append(made)
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        spark = SparkSession.getActiveSession()
+        for path in made:
+            if path in kept:
+                if _OPEN:
+                    _OPEN[-1].append(path)
+            elif spark is not None:
+                drop(spark, path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
