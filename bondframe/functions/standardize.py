@@ -74,10 +74,9 @@ def write(mol: Mol, atoms: list[int] | None = None) -> str:
             for k, o in marks.get(x, []):
                 out.append(f"{sign[o]}%{k:02d}" if k < 100 else f"{sign[o]}%({k})")
             kids = children.get(x, [])
-            for c in kids[:0:-1]:
+            todo += kids[:1]
+            for c in kids[1:]:
                 todo += [")", c, "("]
-            if kids:
-                todo.append(kids[0])
     return "".join(out)
 
 
