@@ -1,52 +1,13 @@
-"""Shared helpers: shared-folder tables that cut lineage, connected components."""
+"""Shared helpers: connected components, columns by name, unions."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only a session without that setting (tests, one machine) gets a folder
-    of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="bondframe-"))
-    return _OWN[0]
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a Parquet table in the shared folder and read it back.
-
-    The result's lineage starts at files, so a lost executor costs a reread
-    and not the work before it. The table goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table of ``cut`` if the session still lives."""
-    if spark.sparkContext._jsc is None:
-        return
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
+from ..lineage import cut, scratch
 
 def _mix(x: Column) -> Column:
     """A bijection of 64-bit integers (xorshift), so that key order is random."""
@@ -69,23 +30,24 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     number of nodes falls by a constant factor in each round. Hot nodes only
     meet partial aggregates and joins that can be split.
     """
-    e = edges.select(_mix(F.col(a)).alias("u"), _mix(F.col(b)).alias("v"), F.col(a).alias("ia"), F.col(b).alias("ib"))
-    e = e.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    nodes = e.select(F.col("u").alias("n"), F.col("ia").alias("id")).union(e.select("v", "ib"))
-    nodes = cut(nodes.distinct(), "nodes")
-    e = cut(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    parents = []
-    while not e.isEmpty():
-        both = e.union(e.select("v", "u"))
-        p = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")).withColumnRenamed("u", "n"), "parents")
-        parents.append(p)
-        up, vp = p.select(F.col("n").alias("u"), F.col("p").alias("pu")), p.select(F.col("n").alias("v"), F.col("p").alias("pv"))
-        e = e.join(up, "u").join(vp, "v").filter("pu <> pv")
-        e = cut(e.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
-    out = nodes.withColumn("root", F.col("n"))
-    for p in parents:
-        out = out.join(p.select(F.col("n").alias("root"), "p"), "root", "left").select("n", "id", F.coalesce("p", "root").alias("root"))
-    out = cut(out.select("id", "root"), "roots")
+    with scratch() as keep:
+        e = edges.select(_mix(F.col(a)).alias("u"), _mix(F.col(b)).alias("v"), F.col(a).alias("ia"), F.col(b).alias("ib"))
+        e = e.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+        nodes = e.select(F.col("u").alias("n"), F.col("ia").alias("id")).union(e.select("v", "ib"))
+        nodes = cut(nodes.distinct(), "nodes")
+        e = cut(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        parents = []
+        while not e.isEmpty():
+            both = e.union(e.select("v", "u"))
+            p = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")).withColumnRenamed("u", "n"), "parents")
+            parents.append(p)
+            up, vp = p.select(F.col("n").alias("u"), F.col("p").alias("pu")), p.select(F.col("n").alias("v"), F.col("p").alias("pv"))
+            e = e.join(up, "u").join(vp, "v").filter("pu <> pv")
+            e = cut(e.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        out = nodes.withColumn("root", F.col("n"))
+        for p in parents:
+            out = out.join(p.select(F.col("n").alias("root"), "p"), "root", "left").select("n", "id", F.coalesce("p", "root").alias("root"))
+        out = keep(cut(out.select("id", "root"), "roots"))
     least = out.groupBy("root").agg(F.min("id").alias("component"))
     return out.join(least, "root").select(F.col("id").alias("node"), "component")
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import map_arrow, ship
-from .common import components, cut, docs_only
+from ..lineage import cut
+from .common import components, docs_only
 
 COSINE = 0.93
 #: Vectors of a shard, and so of an index and of a block of queries, at most (about).
