@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 NAN = float("nan")
 
 
@@ -61,7 +63,13 @@ def log_auc(df: DataFrame, key: str, true: str, pred: str, top: int, points: lis
     w = Window.orderBy("at")
     x = F.log10(F.col("at") / F.lit(float(n)))
     step = curve.select("at", "y", x.alias("x"), F.lag("y").over(w).alias("y0"), F.lag(x).over(w).alias("x0"))
-    return step.agg(F.sum((F.col("y") + F.col("y0")) / 2 * (F.col("x") - F.col("x0"))).alias("area"))
+    # an ideal order has a hit at every place up to top, a random one the share of the rows looked at
+    ideal, rand = F.least(F.col("at"), F.lit(top)) / F.lit(float(top)), F.col("at") / F.lit(float(n))
+    for name, y in (("i", ideal), ("r", rand)):
+        step = step.withColumn(name, y).withColumn(f"{name}0", F.lag(y).over(w))
+    area = lambda y, y0: F.sum((F.col(y) + F.col(y0)) / 2 * (F.col("x") - F.col("x0")))
+    out = step.agg(area("y", "y0").alias("area"), area("i", "i0").alias("ideal"), area("r", "r0").alias("random"))
+    return out.withColumn("normalised", (F.col("area") - F.col("random")) / (F.col("ideal") - F.col("random")))
 
 
 def global_rank(df: DataFrame, order: list[Column], by: str, name: str, parts: int = 64) -> DataFrame:
@@ -193,9 +201,32 @@ def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return first.select(key, *(F.col(f"_f.{c}").alias(c) for c in rest))
 
 
+def linked_groups(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, grp): the smallest node that each node is linked with, directly or by others.
+
+    Rounds of neighbour minima with a jump to the minimum's minimum, each
+    written, until no label changes.
+    """
+    both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(b, a)).distinct(), "links")
+    lab = cut(both.select(F.col("x").alias("node")).distinct().withColumn("grp", F.col("node")), "groups")
+    while True:
+        low = both.join(lab.select(F.col("node").alias("y"), "grp"), "y").groupBy(F.col("x").alias("node")).agg(F.min("grp").alias("m"))
+        new = lab.join(low, "node").select("node", F.col("grp").alias("old"), F.least("grp", "m").alias("grp"))
+        up = new.select(F.col("node").alias("grp"), F.col("grp").alias("top"))
+        new = cut(new.join(up, "grp").select("node", "old", F.col("top").alias("grp")), "groups")
+        if new.filter("old <> grp").isEmpty():
+            return new.select("node", "grp")
+        lab = new.select("node", "grp")
+
+
 # --- columns
 
 
+def finite(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with infinities of the named columns as NaN."""
+    return df.withColumns({c: F.when(F.abs(c) == float("inf"), F.lit(NAN)).otherwise(F.col(c)) for c in columns})
+
+
 def long_columns(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     """(keep..., name, value): one row for each cell of the named columns."""
     pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns))

@@ -59,3 +59,11 @@ def environments(mol: Mol, radius: int, chirality: bool = False) -> list[tuple[i
 def ecfp_bits(mol: Mol, radius: int = 4, size: int = 2048, chirality: bool = True) -> list[int]:
     """The set bits, ascending."""
     return sorted({code % size for _, _, code in environments(mol, radius, chirality)})
+
+
+def ecfp_counts(mol: Mol, radius: int = 2, size: int = 2048) -> dict[int, int]:
+    """How many environments fall on each bit."""
+    out: dict[int, int] = {}
+    for _, _, code in environments(mol, radius):
+        out[code % size] = out.get(code % size, 0) + 1
+    return dict(sorted(out.items()))

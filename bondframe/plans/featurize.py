@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import smiles as sm
+from ..functions.scaffold import canonical_smiles, murcko, scaffold_hash
 from ..functions.standardize import MODES, standardized
 from ..operators.context import Context
 from ..operators.families import FAMILY_FUNCTIONS, infocontent
@@ -67,6 +68,26 @@ def parse(table: DataFrame, smiles: str = "smiles") -> DataFrame:
     return map_arrow(table, run, schema)
 
 
+def scaffolds(table: DataFrame, smiles: str = "smiles") -> DataFrame:
+    """``table`` with canonical, scaffold and scaffold_hash, null where the text is no molecule."""
+    names, at = table.columns, table.columns.index(smiles)
+    schema = T.StructType([*table.schema.fields, *T._parse_datatype_string("canonical string, scaffold string, scaffold_hash bigint").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for s in b.column(at):
+                try:
+                    mol = sm.parse(s.as_py() or "")
+                    rows.append((canonical_smiles(mol), murcko(mol), scaffold_hash(mol)))
+                except (ValueError, RecursionError):
+                    rows.append((None, None, None))
+            c, m, h = zip(*rows) if rows else ((), (), ())
+            yield pa.record_batch([*b.columns, pa.array(c, pa.string()), pa.array(m, pa.string()), pa.array(h, pa.int64())], names=[*names, "canonical", "scaffold", "scaffold_hash"])
+
+    return map_arrow(table, run, schema)
+
+
 def compute_row(text: str | None, p: Plan, standardize, radius: int | None, size: int) -> tuple[list[float], list[int], dict | None]:
     """(values, set bits, error) of one SMILES: NaN and no bits where it fails."""
     try:

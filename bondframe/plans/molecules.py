@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import elements as el
-from .featurize import featurize, parse
+from .featurize import featurize, parse, scaffolds
 
 #: Fragment, and its heavy atoms, rings, carbons, nitrogens, oxygens, hydrogens inside a chain.
 FRAGMENTS = [
@@ -68,6 +68,12 @@ def molecule_default_set(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("mol_id", F.size("features").alias("n_features"), F.size(F.filter("features", lambda x: F.isnan(x))).alias("n_nan"), F.size("fp_bits").alias("n_bits"))
 
 
+def molecule_scaffolds(spark: SparkSession, sf: str) -> DataFrame:
+    """How many molecules share each scaffold, and in how many ways they are written."""
+    d = scaffolds(order_molecules(spark, sf))
+    return d.groupBy("scaffold").agg(F.count("*").alias("n"), F.count_distinct("canonical").alias("n_different"))
+
+
 def smiles_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of the molecules' texts and how often each occurs: a native scan."""
     tokens = F.regexp_extract_all("smiles", F.lit(r"(\[[^\]]+\]|Br|Cl|[A-Za-z]|[=#()0-9])"), F.lit(1))
@@ -76,7 +82,7 @@ def smiles_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 _TOKENS = "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all('C' || t || 'C', '(\\[[^\\]]+\\]|Br|Cl|[A-Za-z]|[=#()0-9])', 1)) AS token FROM (SELECT string_agg(CASE l_partkey % 10 " + " ".join(f"WHEN {k} THEN '{row[0]}'" for k, row in enumerate(FRAGMENTS)) + " END, '') AS t FROM lineitem GROUP BY l_orderkey)) GROUP BY token"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (molecule_counts, molecule_descriptors, molecule_default_set, smiles_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (molecule_counts, molecule_descriptors, molecule_default_set, molecule_scaffolds, smiles_tokens)}
 ORACLE: dict[str, str] = {
     "molecule_counts": f"WITH {_SUMS} SELECT mol_id, CAST(heavy AS BIGINT) AS n_heavy, CAST(rings AS BIGINT) AS n_rings, CAST(c AS BIGINT) AS n_c, CAST(n AS BIGINT) AS n_n, CAST(o AS BIGINT) AS n_o, CAST(h AS BIGINT) AS n_h, round(c * 12.011 + n * 14.007 + o * 15.999 + h * 1.008, 4)::DOUBLE AS weight, CAST((SELECT count(*) FROM lineitem l WHERE l.l_orderkey = mol_id AND l_partkey % 10 = 4) * 6 AS BIGINT) AS n_arom_bonds FROM s",
     "molecule_descriptors": f'WITH {_SUMS} SELECT mol_id, heavy::DOUBLE AS "HeavyAtomCount", rings::DOUBLE AS "RingCount", c::DOUBLE AS "nC", n::DOUBLE AS "nN", o::DOUBLE AS "nO", h::DOUBLE AS "nH", (heavy + rings - 1 + h)::DOUBLE AS "nBonds", round(c * 12.011 + n * 14.007 + o * 15.999, 3)::DOUBLE AS "HeavyAtomMolWt", (n + o)::DOUBLE AS "NOCount" FROM s',

@@ -210,8 +210,9 @@ def recovery_at_fraction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {ORDERS}, m AS (SELECT count(*) AS n FROM o), t AS (SELECT *, count(*) OVER (ORDER BY y DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 100 AS hit, row_number() OVER (ORDER BY p DESC, id) AS rk FROM o),
- c AS (SELECT pt, (SELECT count(*) FROM t WHERE hit AND rk <= pt) / 100.0 AS y, log10(pt / (SELECT n FROM m)::DOUBLE) AS x FROM (VALUES (1), (3), (10), (30), (100), (300), (1000)) v(pt)), s AS (SELECT (y + lag(y) OVER (ORDER BY pt)) / 2 * (x - lag(x) OVER (ORDER BY pt)) AS a FROM c)
- SELECT round(sum(a), 6) AS area FROM s""")
+ c AS (SELECT pt, (SELECT count(*) FROM t WHERE hit AND rk <= pt) / 100.0 AS y, log10(pt / (SELECT n FROM m)::DOUBLE) AS x FROM (VALUES (1), (3), (10), (30), (100), (300), (1000)) v(pt)), e AS (SELECT *, least(pt, 100) / 100.0 AS i, pt / (SELECT n FROM m)::DOUBLE AS r FROM c),
+ s AS (SELECT (y + lag(y) OVER w) / 2 * (x - lag(x) OVER w) AS a, (i + lag(i) OVER w) / 2 * (x - lag(x) OVER w) AS ai, (r + lag(r) OVER w) / 2 * (x - lag(x) OVER w) AS ar FROM e WINDOW w AS (ORDER BY pt))
+ SELECT round(sum(a), 6) AS area, round(sum(ai), 6) AS ideal, round(sum(ar), 6) AS random, round((sum(a) - sum(ar)) / (sum(ai) - sum(ar)), 6) AS normalised FROM s""")
 def log_auc(spark: SparkSession, sf: str) -> DataFrame:
     o = keyed_orders(spark, sf)
     return rounded(D.log_auc(o, "id", "y", "p", 100, [1, 3, 10, 30, 100, 300, 1000], o.count()))
@@ -345,6 +346,31 @@ def pair_links(spark: SparkSession, sf: str) -> DataFrame:
     return e.agg(F.count_distinct("a").alias("n_nodes"), F.count_distinct("b").alias("n_hubs"), F.count("*").alias("n_links"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 100000 + l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.04), near AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM near UNION SELECT r.node, n.b FROM r JOIN near n ON n.a = r.seen)
+ SELECT node, min(seen) AS grp FROM r GROUP BY node""")
+def pair_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs that share a member, directly or by others, are one group: no group is split."""
+    e = table(spark, sf, "lineitem").filter("l_quantity = 50 AND l_discount = 0.04").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000).alias("b")).distinct()
+    return D.linked_groups(e, "a", "b")
+
+
+@query("SELECT l_orderkey, CASE WHEN l_tax = 0 THEN NULL ELSE round(l_discount / l_tax, 6) END AS x FROM lineitem WHERE l_linenumber = 1")
+def finite_values(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.when(F.col("l_tax") == 0, F.lit(float("inf"))).otherwise(F.try_divide("l_discount", "l_tax"))
+    return rounded(D.finite(table(spark, sf, "lineitem").filter("l_linenumber = 1").select("l_orderkey", x.alias("x")), "x"))
+
+
+@query()
+def column_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns absorbed by cheaper ones that rank alike; sequential, over the pairs of a few columns."""
+    o = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    li = table(spark, sf, "lineitem").withColumn("k", F.struct(*o)).withColumn("twice", F.col("l_extendedprice") * 2)
+    cols = ["l_quantity", "l_extendedprice", "twice", "l_discount"]
+    pairs = [(a, b, D.rank_correlation(li, a, b, "l_linenumber", "k").first()["rho_min"]) for i, a in enumerate(cols) for b in cols[:i]]
+    kept = D.greedy_cover(pairs, {c: float(i) for i, c in enumerate(cols)}, 0.99)
+    return spark.createDataFrame(sorted(kept.items()), "name string, survivor string")
+
+
 @query("WITH ids AS (SELECT DISTINCT l_suppkey * 3 + l_linenumber AS k FROM lineitem WHERE l_quantity > 45), g AS (SELECT k, k - row_number() OVER (ORDER BY k) AS r FROM ids) SELECT min(k) AS lo, max(k) AS hi, count(*) AS n FROM g GROUP BY r")
 def shard_islands(spark: SparkSession, sf: str) -> DataFrame:
     return D.islands(table(spark, sf, "lineitem").filter("l_quantity > 45").select((F.col("l_suppkey") * 3 + F.col("l_linenumber")).alias("k")), "k")

@@ -13,7 +13,8 @@ from bondframe.functions.standardize import standardized, write
 from bondframe.operators.context import Context
 from bondframe.operators.families import FAMILY_FUNCTIONS as F
 from bondframe.operators.families import characteristic
-from bondframe.operators.fingerprint import ecfp_bits
+from bondframe.functions.scaffold import canonical_smiles, murcko, scaffold_hash
+from bondframe.operators.fingerprint import ecfp_bits, ecfp_counts
 from bondframe.plans import catalog
 from bondframe.plans.planner import plan, resolve
 
@@ -180,3 +181,16 @@ def test_planner():
     assert plan(["qed", "AvgIpc"], optional=[]).families == ()
     with pytest.raises(ValueError):
         plan("full", optional=["TPSA"])
+
+
+def test_canonical_text_and_scaffolds():
+    r = random.Random(5)
+    for s in (ASPIRIN, "CN1CCN(CC1)c1ncccc1S(=O)(=O)N", "C1CC2CCC1CC2", "CC(C)(C)c1ccc(cc1)C(=O)C1CC1"):
+        mol = parse(s)
+        texts = {canonical_smiles(parse(_shuffled(mol, r))) for _ in range(5)} | {canonical_smiles(mol)}
+        assert len(texts) == 1 and canonical_smiles(parse(texts.pop())) == canonical_smiles(mol)
+    same = lambda a, b: murcko(parse(a)) == murcko(parse(b))
+    assert murcko(parse("CCCO")) == "" and same("Cc1ccccc1", "c1ccccc1") and same("CCC1CCCCC1", "C1CCCCC1") and not same("c1ccccc1", "C1CCCCC1")
+    assert same("OCC1CCC(=O)CC1", "O=C1CCCCC1") and same("Cc1ccccc1CCc1ccncc1F", "c1ccc(cc1)CCc1ccncc1")
+    assert scaffold_hash(parse("CC")) == scaffold_hash(parse("CCO")) != scaffold_hash(parse("C1CC1"))
+    assert sum(ecfp_counts(parse(ASPIRIN)).values()) >= len(ecfp_bits(parse(ASPIRIN), 2, chirality=False))
