@@ -7,6 +7,7 @@ weighs its atoms by that property is NaN.
 from __future__ import annotations
 
 import math
+from functools import cache
 
 NAN = float("nan")
 
@@ -95,11 +96,13 @@ VALENCES = {"B": (3,), "C": (4,), "N": (3, 5), "O": (2,), "P": (3, 5, 7), "S": (
 _NOBLE = (2, 10, 18, 36, 54, 86)
 
 
+@cache
 def period(z: int) -> int:
     """The row of the periodic table."""
     return 1 + sum(z > n for n in _NOBLE)
 
 
+@cache
 def outer(z: int) -> int:
     """Outer electrons: those past the last noble gas, without a full d or f shell."""
     if z <= 0:

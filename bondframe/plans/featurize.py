@@ -15,7 +15,7 @@ from ..functions import smiles as sm
 from ..functions.scaffold import canonical_smiles, murcko, scaffold_hash
 from ..functions.standardize import MODES, standardized
 from ..operators.context import Context
-from ..operators.families import FAMILY_FUNCTIONS, infocontent
+from ..operators.families import run_family
 from ..operators.fingerprint import ecfp_bits
 from ..ship import map_arrow
 from . import catalog
@@ -94,12 +94,11 @@ def compute_row(text: str | None, p: Plan, standardize, radius: int | None, size
         mol = standardized(text or "", standardize)
     except (ValueError, RecursionError) as e:
         return [np.nan] * len(p.columns), [], {"kind": "row", "message": str(e)[:200]}
-    c, values, failed = Context(mol), {}, []
+    c, values, failed, wanted = Context(mol), {}, [], p.by_family
     with np.errstate(all="ignore"):
         for f in p.families:
             try:
-                got = infocontent(c, "AvgIpc" in p.optional) if f == "infocontent" else FAMILY_FUNCTIONS[f](c)
-                values |= {k: v for k, v in got.items() if catalog.FAMILY_OF.get(k) == f}
+                values |= {k: v for k, v in run_family(f, c, wanted[f]).items() if k in wanted[f]}
             except (ValueError, ArithmeticError, np.linalg.LinAlgError, RecursionError) as e:
                 failed.append(f"{f}: {e}")
     row = [values.get(n, np.nan) for n in p.columns]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 from . import catalog
 
@@ -50,6 +51,12 @@ class Plan:
     families: tuple[str, ...]
     optional: tuple[str, ...]
 
+    @cached_property
+    def by_family(self) -> dict[str, frozenset[str]]:
+        """The columns of each family that runs; optional ones that are off are left out."""
+        off = set(catalog.OPTIONAL_COLUMNS) - set(self.optional)
+        return {f: frozenset(n for n in self.columns if catalog.FAMILY_OF[n] == f and n not in off) for f in self.families}
+
     @property
     def closure(self) -> tuple[str, ...]:
         """The families whose shared quantities are needed, dependencies included."""

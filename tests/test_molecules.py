@@ -194,3 +194,15 @@ def test_canonical_text_and_scaffolds():
     assert same("OCC1CCC(=O)CC1", "O=C1CCCCC1") and same("Cc1ccccc1CCc1ccncc1F", "c1ccc(cc1)CCc1ccncc1")
     assert scaffold_hash(parse("CC")) == scaffold_hash(parse("CCO")) != scaffold_hash(parse("C1CC1"))
     assert sum(ecfp_counts(parse(ASPIRIN)).values()) >= len(ecfp_bits(parse(ASPIRIN), 2, chirality=False))
+
+
+def test_gated_values_equal_full_ones():
+    from bondframe.operators.families import run_family
+
+    for s in (ASPIRIN, "[Na+].CC(=O)[O-]"):
+        c = Context(parse(s))
+        for f in F:
+            full = run_family(f, c)
+            for n in catalog.FAMILY_COLUMNS.get(f, ["qed"]):
+                got = run_family(f, Context(parse(s)) if f in ("frag",) else c, frozenset([n]))[n]
+                assert got == full[n] or math.isnan(got) and math.isnan(full[n]), n
