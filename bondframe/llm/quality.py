@@ -143,21 +143,24 @@ def _features(docs: DataFrame, extra: str) -> DataFrame:
     return map_arrow(docs.select(extra, "text"), run, f"{extra} {dict(docs.dtypes)[extra]}, x array<double>")
 
 
-def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[PuNet, float]:
-    """A network from (key, text, positive boolean) rows.
+def train(rows: DataFrame, texts: DataFrame, sample: int = SAMPLE) -> tuple[PuNet, float]:
+    """A network from (key, positive boolean) rows and the (key, text) of all of them.
 
     Rows with positive true are the trusted positives; all rows, those
-    among them, are the unlabelled text. About ``sample`` of each, by a hash
-    of the key, are described where they lie, and only the descriptions
-    reach the driver.
+    among them, are the unlabelled text. About ``sample`` of each are picked
+    by a hash of the key, without their texts; the picked keys, bounded by
+    the sample, are then met with the texts where they lie, and only
+    descriptions of those reach the driver.
     """
     n = rows.agg(F.count("*").alias("u"), F.count_if("positive").alias("p")).first()
     unit = lambda s: F.pmod(F.xxhash64("key", F.lit(s)), F.lit(1 << 30)) / float(1 << 30)
     as_pos = F.coalesce(F.col("positive"), F.lit(False)) & (unit(1) < sample / max(1, n["p"]))
     as_unl = unit(2) < sample / max(1, n["u"])
     role = as_pos.cast("int") + 2 * as_unl.cast("int")
-    picked = rows.withColumn("role", role).filter("role > 0").select(F.struct("key", "role").alias("who"), "text")
-    got = sorted((r["who"]["key"] or 0, r["who"]["role"], r["x"]) for r in _features(picked, "who").collect())
+    # the limit is a bound on what is broadcast; a hashed sample of 2 * sample rows doesn't come near it
+    picked = rows.withColumn("role", role).filter("role > 0").select("key", "role").distinct().limit(8 * sample)
+    met = texts.join(F.broadcast(picked), "key").select(F.struct("key", "role").alias("who"), "text")
+    got = sorted((r["who"]["key"] or 0, r["who"]["role"], r["x"]) for r in _features(met, "who").collect())
     take = lambda bit: np.array([x for _, k, x in got if k & bit]).reshape(-1, FEATURES)
     return learn(take(1), take(2))
 

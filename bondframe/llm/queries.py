@@ -83,8 +83,8 @@ def quality_net(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Pu
     """A network from the rows of ``docs`` outside the held-out fold and their labels."""
     labels = table(spark, sf_dir, "labels").filter("quality IS NOT NULL").select(F.col("doc_id").alias("key"), (F.col("quality") == 1).alias("positive"))
     labels = labels.groupBy("key").agg(F.bool_and("positive").alias("positive"))
-    rows = docs.select(F.col("doc_id").alias("key"), "text").filter(F.coalesce(langid.fold(F.col("key"), 3) != 1, F.lit(False)))
-    return quality.train(rows.join(labels, "key", "left"))[0]
+    texts = docs.select(F.col("doc_id").alias("key"), "text").filter(F.coalesce(langid.fold(F.col("key"), 3) != 1, F.lit(False)))
+    return quality.train(texts.select("key").join(labels, "key", "left"), texts)[0]
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
