@@ -20,14 +20,14 @@ WIDTH = 5
 #: Share of an item's shingles that a document holds when it is reported.
 CONTAINED = 0.8
 #: MinHash permutations; any agreement makes a candidate (bands of one row).
-PERMS = 64
+PERMS = 48
 #: Shingles of a window's half in the smallest size partition.
 STEP = 4
 #: Bytes of item texts that are broadcast at once; more items go in more passes.
 BLOCK_BYTES = 32 << 20
-_CHUNK = 1 << 15
+_CHUNK = 1 << 12
 _WORD = re.compile(r"[^\W_]+")
-_PERM = np.random.RandomState(9).randint(0, 2**63, (2, PERMS), np.uint64) * np.uint64(2) + np.uint64(1)
+_PERM = np.random.RandomState(9).randint(0, 2**32, (2, PERMS), np.uint32) | np.array([[1], [0]], np.uint32)
 _COEF = np.random.RandomState(5).randint(0, 2**63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -51,19 +51,22 @@ def shingle_hashes(words: list[str], width: int, hashes: _Hashes) -> np.ndarray:
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     out = np.zeros(len(words) - width + 1, np.uint64)
     for i in range(width):
-        out += (w[i : len(w) - width + 1 + i] ^ (w[i : len(w) - width + 1 + i] >> np.uint64(29))) * _COEF[i]
+        out += w[i : len(w) - width + 1 + i] * _COEF[i]
     return out ^ (out >> np.uint64(32))
 
 
 def minima(x: np.ndarray, step: int) -> np.ndarray:
-    """The least value of each permutation in every run of ``step`` shingles: (runs, PERMS)."""
-    out = np.empty((-(-len(x) // step), PERMS), np.uint64)
-    chunk = _CHUNK // step * step
+    """The least value of each permutation in every run of ``step`` shingles: (runs, PERMS).
+
+    Permutations are odd multiples modulo 2**32 of half the hash.
+    """
+    x = (x >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((-(-len(x) // step), PERMS), np.uint32)
+    chunk = max(1, _CHUNK // step) * step
     for at in range(0, len(x), chunk):
         part = x[at : at + chunk]
-        starts = np.arange(0, len(part), step)
-        for p in range(PERMS):
-            out[at // step : at // step + len(starts), p] = np.minimum.reduceat(part * _PERM[0, p] + _PERM[1, p], starts)
+        values = part[:, None] * _PERM[0] + _PERM[1]
+        out[at // step : at // step + -(-len(part) // step)] = np.minimum.reduceat(values, np.arange(0, len(part), step), axis=0)
     return out
 
 
@@ -74,13 +77,13 @@ class Index:
     searched for them in windows of twice that, each half a window after the
     last, so that an item's copy lies whole within a window and makes up a
     fifth of the union with it at least: all PERMS permutations then miss it
-    with a probability under 1e-5.
+    with a probability under 1e-4.
     """
 
     def __init__(self, items: list[tuple[int, str]], contained: float):
         self.contained, self.hashes = contained, _Hashes()
         self.items: list[tuple[int, int, np.ndarray, set]] = []
-        self.parts: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.parts: dict[tuple[int, int], tuple[np.ndarray, dict[int, list[int]]]] = {}
         parts = defaultdict(list)
         for item, text in items:
             if words := words_of(text):
@@ -92,12 +95,14 @@ class Index:
                 parts[width, k].append(len(self.items))
                 self.items.append((item, width, h, {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}))
         for key, members in parts.items():
+            # one sorted table for all permutations: a value that meets another permutation's only costs a verification
             sketch = np.array([minima(self.items[m][2], len(self.items[m][2]))[0] for m in members])
-            tables = []
-            for p in range(PERMS):
-                order = np.argsort(sketch[:, p], kind="stable")
-                tables.append((sketch[order, p], np.array(members)[order]))
-            self.parts[key] = tables
+            values = np.sort(np.unique(sketch))
+            holders = {int(v): [] for v in values}
+            for m, row in zip(members, sketch):
+                for v in set(row.tolist()):
+                    holders[v].append(m)
+            self.parts[key] = (values, holders)
 
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, its shingles, those that the text holds) of the items found."""
@@ -112,12 +117,11 @@ class Index:
             for k in sizes:
                 runs = np.minimum.reduceat(base, np.arange(0, len(base), 1 << k - sizes[0]), axis=0)
                 windows = np.minimum(runs[:-1], runs[1:]) if len(runs) > 1 else runs
-                for p, (values, members) in enumerate(self.parts[width, k]):
-                    col = windows[:, p]
-                    at = np.minimum(np.searchsorted(values, col), len(values) - 1)
-                    for v in {*col[values[at] == col].tolist()}:
-                        a, b = np.searchsorted(values, np.uint64(v), "left"), np.searchsorted(values, np.uint64(v), "right")
-                        found.update(members[a:b].tolist())
+                values, holders = self.parts[width, k]
+                flat = windows.ravel()
+                at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+                for v in {*flat[values[at] == flat].tolist()}:
+                    found.update(holders[v])
             for m in found:
                 item, _, _, own = self.items[m]
                 if width not in seen:
