@@ -126,3 +126,12 @@ def test_query(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.execute(registry.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and _rows(got) == _rows(want)
+
+
+def test_public_names(spark):
+    from bondframe import api
+
+    t = M.from_list(spark, ["CCO"])
+    assert len(api.featurize_all(t).columns) == 1270 + 3 and len(api.compute(t).columns) == 162 + 3 and len(api.minimal_columns()) == 256
+    s = api.scaffolds(M.from_list(spark, ["Cc1ccccc1", "OCC", "nope"])).orderBy("mol_id").collect()
+    assert s[0].scaffold and s[1].scaffold == "" and s[2].scaffold is None and s[0].canonical != s[1].canonical
