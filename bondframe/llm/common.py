@@ -52,6 +52,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return out.join(least, "root").select(F.col("id").alias("node"), "component")
 
 
+#: Rows of a narrow table that are broadcast at most.
+SMALL_ROWS = 250_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, broadcast if it has SMALL_ROWS rows at most; a larger one is joined by shuffle.
+
+    The count comes from the files' footers; the table's size in a join is
+    so known before it, and bounded by some ten MB.
+    """
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def docs_only(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns alone, cast: extra or clashing columns cannot interfere."""
     return df.select(*(F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()))

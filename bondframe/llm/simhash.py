@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..ship import map_arrow
 from ..lineage import cut, scratch
-from .common import components, docs_only
+from .common import components, docs_only, small
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -190,17 +190,16 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     reps = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in SEGMENTS))
     reps = cut(reps, "near-reps")
     with scratch() as keep:
-        probes = _probes(reps).repartition("entry")
-        # counts and members share one exchange
-        counts = probes.groupBy("entry").agg(F.count("*").alias("n"), F.min("h1").alias("a")).filter("n > 1")
-        many = cut(probes.join(counts, "entry"), "near-members", sweep=True)
+        probes = _probes(reps)
+        met = cut(probes.groupBy("entry").agg(F.count("*").alias("n"), F.min("h1").alias("a"), F.max("h1").alias("b")).filter("n > 1"), "near-met", sweep=True)
+        many = cut(probes.join(small(met.filter("n > 2").select("entry", "n", "a")), "entry"), "near-members", sweep=True)
         few = many.filter(F.col("n") <= SMALL)
         x, y = few.select("entry", F.col("h1").alias("a")), few.select("entry", F.col("h1").alias("b"))
-        pairs = x.join(y, "entry").filter("a < b").select("a", "b")
+        pairs = met.filter("n = 2").select("a", "b").union(x.join(y, "entry").filter("a < b").select("a", "b"))
         pairs = pairs.union(many.filter((F.col("n") > SMALL) & (F.col("h1") != F.col("a"))).select("a", F.col("h1").alias("b")))
         pairs = cut(pairs.filter("a <> b").distinct(), "near-pairs", sweep=True)
         ids = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-        places = reps.join(ids, "h1").select("h1", F.col("least").alias("doc_id"))
+        places = small(cut(reps.join(ids, "h1").select("h1", F.col("least").alias("doc_id")), "near-places"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
