@@ -59,7 +59,7 @@ DEG = DIST + """, deg AS (SELECT a.g, a.idx, a.z, a.w, count(d.j) AS deg FROM at
 
 @query(f"WITH {ATOMS} SELECT g, idx, z, w, q FROM atoms")
 def graph_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    return G.order_atoms(table(spark, sf, "lineitem"))
+    return G.order_atoms(table(spark, sf, "lineitem")).withColumn("idx", F.col("idx").cast("bigint"))
 
 
 @query(f"WITH {DIST} SELECT g, i AS u, j AS v FROM dist WHERE d = 1 AND i < j")
@@ -386,10 +386,10 @@ def set_intersect(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").filter("l_quantity = 50").select(F.col("l_partkey").alias("k")).intersect(table(spark, sf, "part").filter("p_size <= 25").select("p_partkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 100000 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 420000 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice < 50000")
 def set_except(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    have, live = o.filter("o_totalprice > 100000").select("o_custkey"), o.filter("o_orderstatus = 'P'").select("o_custkey")
+    have, live = o.filter("o_totalprice > 420000").select("o_custkey"), o.filter("o_orderstatus = 'P' AND o_totalprice < 50000").select("o_custkey")
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(have).subtract(live)
 
 
