@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,6 +66,42 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= SMALL_ROWS else table
 
 
+#: Members up to which a table entry gives all its pairs at once.
+SMALL = 16
+
+
+def shared_entries(probes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of (entry, h1): the pairs (a, b) of entries of two, and (entry, n, h1) of the larger ones."""
+    met = cut(probes.groupBy("entry").agg(F.count("*").alias("n"), F.min("h1").alias("a"), F.max("h1").alias("b")).filter("n > 1"), f"{name}-met", sweep=True)
+    many = cut(probes.join(small(met.filter("n > 2").select("entry", "n")), "entry").select("entry", "n", "h1"), f"{name}-members", sweep=True)
+    return met.filter("n = 2 AND a <> b").select("a", "b"), many
+
+
+def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs that ``links`` doesn't connect."""
+    known = components(links, "a", "b")
+    side = lambda z: known.select(F.col("node").alias(z), F.col("component").alias(f"c{z}"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+
+def decided_links(two: DataFrame, many: DataFrame, prove: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Links (a, b) that connect what the similar pairs of ``shared_entries`` connect.
+
+    ``prove`` keeps the similar ones of some pairs. An entry of over SMALL
+    members compares each with its smallest alone.
+    """
+    few, big = many.filter(F.col("n") <= SMALL), many.filter(F.col("n") > SMALL).select("entry", "h1")
+    heads = big.groupBy("entry").agg(F.min("h1").alias("a"))
+    x, y = few.select("entry", F.col("h1").alias("a")), few.select("entry", F.col("h1").alias("b"))
+    pairs = two.select("a", "b").union(x.join(y, "entry").filter("a < b").select("a", "b"))
+    pairs = pairs.union(big.join(heads, "entry").filter("h1 <> a").select("a", F.col("h1").alias("b")))
+    pairs = cut(pairs.distinct(), f"{name}-pairs", sweep=True)
+    # a member's link with its smallest candidate first; what is connected by then needs no further proof
+    tree = cut(prove(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), f"{name}-tree")
+    links = cut(tree.union(prove(_across(pairs, tree))), f"{name}-links")
+    return links
+
+
 def docs_only(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns alone, cast: extra or clashing columns cannot interfere."""
     return df.select(*(F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()))

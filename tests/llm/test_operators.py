@@ -137,6 +137,24 @@ def test_near_groups(spark, odd):
     assert simhash.near_groups(odd.limit(0)).count() == 0
 
 
+def similar_pairs(texts):
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    return [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def test_near_groups_find_cut_and_added_text(spark):
+    r = random.Random(14)
+    word = lambda: f"w{r.randrange(10**6)}"
+    texts = {}
+    for g in range(200):
+        words = [word() for _ in range(300)]
+        more = [word() for _ in range(30 + g % 4 * 14)]
+        texts[2 * g], texts[2 * g + 1] = " ".join(words), " ".join((words + more, more + words, words[: -len(more)])[g % 3])
+    pairs = similar_pairs(texts)
+    got = {x.doc_id: x.component_id for x in simhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert len(pairs) > 150 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs) and got == find([p for p in pairs if got[p[0]] == got[p[1]]], texts)
+
+
 # 3
 
 
