@@ -68,6 +68,8 @@ def small(table: DataFrame) -> DataFrame:
 
 #: Members up to which a table entry gives all its pairs at once.
 SMALL = 16
+#: Heads that a larger entry's members are compared with before the pairs still open are spelled out.
+HEADS = 2
 
 
 def shared_entries(probes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -87,8 +89,11 @@ def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
 def decided_links(two: DataFrame, many: DataFrame, prove: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """Links (a, b) that connect what the similar pairs of ``shared_entries`` connect.
 
-    ``prove`` keeps the similar ones of some pairs. An entry of over SMALL
-    members compares each with its smallest alone.
+    ``prove`` keeps the similar ones of some pairs. Every pair of an entry is
+    proved unless its ends are connected by then, so none is lost. Members
+    of a large entry are first compared with its smallest, one head after
+    another, which uses up a group of copies in linear work; after HEADS
+    rounds all pairs of different components are spelled out.
     """
     few, big = many.filter(F.col("n") <= SMALL), many.filter(F.col("n") > SMALL).select("entry", "h1")
     heads = big.groupBy("entry").agg(F.min("h1").alias("a"))
@@ -99,6 +104,25 @@ def decided_links(two: DataFrame, many: DataFrame, prove: Callable[[DataFrame],
     # a member's link with its smallest candidate first; what is connected by then needs no further proof
     tree = cut(prove(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), f"{name}-tree")
     links = cut(tree.union(prove(_across(pairs, tree))), f"{name}-links")
+    for k in range(1, HEADS + 1):
+        known = components(links, "a", "b")
+        left = big.join(heads, "entry").filter("h1 <> a").select("entry", "h1").join(known, F.col("h1") == F.col("node"), "left")
+        left = cut(left.select("entry", "h1", F.coalesce("component", "h1").alias("c")), f"{name}-left")
+        undecided = left.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("entry")
+        left = cut(left.join(undecided, "entry", "left_semi"), f"{name}-left")
+        if left.isEmpty():
+            break
+        big = left.select("entry", "h1")
+        y = left.select("entry", F.col("h1").alias("b"), F.col("c").alias("cb"))
+        if k < HEADS:
+            x = left.groupBy("entry").agg(F.min(F.struct("h1", "c")).alias("m")).select("entry", F.col("m.h1").alias("a"), F.col("m.c").alias("ca"))
+            heads = cut(x.select("entry", "a"), f"{name}-heads")
+            open_ = x.join(y, "entry").filter("ca <> cb")
+        else:
+            x = left.select("entry", F.col("h1").alias("a"), F.col("c").alias("ca"))
+            open_ = x.join(y, "entry").filter("a < b AND ca <> cb")
+        open_ = cut(open_.select("a", "b").distinct(), f"{name}-open", sweep=True)
+        links = cut(links.union(prove(open_)), f"{name}-links")
     return links
 
 

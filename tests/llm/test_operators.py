@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from bondframe.llm import bpe, contamination, embeddings, langid, lines, quality, queries, secrets, shard, simhash, sql, urls
-from bondframe.llm.common import components
+from bondframe.llm.common import components, decided_links, shared_entries
 
 DATA = "/root/testdata/sf0.001"
 BIG = "/root/testdata/sf0.01"
@@ -155,6 +155,29 @@ def test_near_groups_find_cut_and_added_text(spark):
     assert len(pairs) > 150 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs) and got == find([p for p in pairs if got[p[0]] == got[p[1]]], texts)
 
 
+def test_near_groups_of_one_template(spark):
+    r = random.Random(15)
+    word = lambda: f"w{r.randrange(10**6)}"
+    form, texts = [word() for _ in range(300)], {}
+    for g in range(40):
+        own = [word() for _ in range(60)]
+        texts[2 * g], texts[2 * g + 1] = " ".join(form + own), " ".join(form + own[:-10] + [word() for _ in range(10)])
+    pairs = similar_pairs(texts)
+    got = {x.doc_id: x.component_id for x in simhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert len(pairs) == 40 and got == find(pairs, texts)
+
+
+def test_decided_links(spark):
+    """In entries of any size all similar pairs are connected, also those that aren't similar to the smallest."""
+    similar = [(2 * k, 2 * k + 1) for k in range(30)] + [(100 + k, 101 + k) for k in range(50)] + [(0, 150)]
+    members = [(1, k) for k in range(60)] + [(1, k) for k in range(100, 151)] + [(2, k) for k in range(0, 40, 3)] + [(3, 7), (3, 8)]
+    table = spark.createDataFrame(similar, "a long, b long")
+    prove = lambda pairs: pairs.join(table, ["a", "b"], "left_semi")
+    links = decided_links(*shared_entries(spark.createDataFrame(members, "entry long, h1 long"), "test"), prove, "test")
+    nodes = {k for _, k in members}
+    assert find([(x.a, x.b) for x in links.collect()], nodes) == find(similar, nodes)
+
+
 # 3
 
 
