@@ -104,6 +104,8 @@ def decided_links(two: DataFrame, many: DataFrame, prove: Callable[[DataFrame],
     # a member's link with its smallest candidate first; what is connected by then needs no further proof
     tree = cut(prove(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), f"{name}-tree")
     links = cut(tree.union(prove(_across(pairs, tree))), f"{name}-links")
+    if big.isEmpty():
+        return links
     for k in range(1, HEADS + 1):
         known = components(links, "a", "b")
         left = big.join(heads, "entry").filter("h1 <> a").select("entry", "h1").join(known, F.col("h1") == F.col("node"), "left")

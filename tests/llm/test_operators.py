@@ -254,6 +254,39 @@ def test_lines(spark, odd):
     assert ids(got) == ALL_IDS and got.columns == [*odd.columns, "n_lines", "n_removed"] and lines.dedup_lines(odd.limit(0)).count() == 0
 
 
+def line_pairs(kinds, seed):
+    """(line, similar line): a word changed, a letter changed in two words, a script without spaces."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randrange(3, 9)))
+    for k in range(kinds):
+        words = [word() for _ in range((10, 30, 100)[k % 3])]
+        other = list(words)
+        if k % 4 == 3:
+            text = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(40))
+            yield text, text[:20] + "\u4dff" + text[21:]
+            continue
+        for i in r.sample(range(len(words)), 1 + k % 2):
+            other[i] = word() if k % 2 == 0 else words[i][:1] + "z" + words[i][2:]
+        yield " ".join(words), " ".join(other)
+
+
+def test_lines_of_edit_similarity(spark):
+    pairs = list(line_pairs(240, 5))
+    rows = [(2 * k + j, line) for k, p in enumerate(pairs) for j, line in enumerate(p)]
+    gone = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {2 * k + 1 for k, (a, b) in enumerate(pairs) if distance(a, b) <= 0.2 * max(len(a), len(b))}
+    assert len(want) > 200 and gone <= want and len(gone) >= 0.95 * len(want)
+
+
 def test_line_normal_form(spark):
     rows = [(1, "Some words, here: (and) there\n---\n}\n\u2014\u2014"), (2, "some\twords here\u00a0and there!\n---\n}\n\u2014\u2014"), (3, "a,b;" * 500)]
     out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
