@@ -287,6 +287,18 @@ def test_lines_of_edit_similarity(spark):
     assert len(want) > 200 and gone <= want and len(gone) >= 0.95 * len(want)
 
 
+def test_lines_of_one_form(spark):
+    """Pairs in an entry of many lines of one form link, however many other lines there are."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(6))
+    form, rows = " ".join(word() for _ in range(60)), []
+    for k in range(30):
+        own = " ".join(word() for _ in range(30))
+        rows += [(2 * k, f"{form} {own} one"), (2 * k + 1, f"{form} {own} two")]
+    gone = {x.doc_id for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").collect()}
+    assert gone == {2 * k + 1 for k in range(30)}
+
+
 def test_line_normal_form(spark):
     rows = [(1, "Some words, here: (and) there\n---\n}\n\u2014\u2014"), (2, "some\twords here\u00a0and there!\n---\n}\n\u2014\u2014"), (3, "a,b;" * 500)]
     out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
