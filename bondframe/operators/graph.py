@@ -9,6 +9,7 @@ breadth-first rounds of equi-joins.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,8 +48,8 @@ def tree_bonds(atoms: DataFrame) -> DataFrame:
 def both_ways(bonds: DataFrame) -> DataFrame:
     return bonds.select("g", F.col("u").alias("a"), F.col("v").alias("b")).unionByName(bonds.select("g", F.col("v").alias("a"), F.col("u").alias("b")))
 
-def distances(atoms: DataFrame, bonds: DataFrame, most: int) -> DataFrame:
-    """(g, i, j, d) of all pairs within ``most`` bonds, d the shortest way.
+def distances(atoms: DataFrame, bonds: DataFrame, most: int | None = None) -> DataFrame:
+    """(g, i, j, d) of all connected pairs, or those within ``most`` bonds, d the shortest way.
 
     Each round extends the newest layer by a bond and drops the pairs of the
     two layers before it: a neighbour of layer k lies in layer k - 1, k or
@@ -58,7 +59,7 @@ def distances(atoms: DataFrame, bonds: DataFrame, most: int) -> DataFrame:
     """
     near = cut(both_ways(bonds), "near")
     layers = [cut(atoms.select("g", F.col("idx").alias("i"), F.col("idx").alias("j")), "layer")]
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         step = layers[-1].join(near, (layers[-1].g == near.g) & (layers[-1].j == near.a)).select(near.g.alias("g"), "i", F.col("b").alias("j")).distinct()
         for old in layers[-2:]:
             step = step.join(old, ["g", "i", "j"], "left_anti")

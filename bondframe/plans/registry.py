@@ -18,8 +18,8 @@ from . import molecules as M
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-#: Longest shortest way in the ring of the longest order.
-REACH = 7
+#: Longest lag of the autocorrelations.
+LAGS = 7
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -69,7 +69,7 @@ def graph_bonds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {DIST} SELECT g, i, j, d FROM dist")
 def graph_distances(spark: SparkSession, sf: str) -> DataFrame:
-    return G.distances(*graph(spark, sf), REACH).select(*(F.col(c).cast("bigint").alias(c) for c in ("g", "i", "j", "d")))
+    return G.distances(*graph(spark, sf)).select(*(F.col(c).cast("bigint").alias(c) for c in ("g", "i", "j", "d")))
 
 
 @query(f"""WITH RECURSIVE {ATOMS}, tree AS (SELECT a.g, a.idx // 2 AS u, a.idx AS v FROM atoms a WHERE a.idx >= 1 UNION SELECT g, 1, n - 1 FROM sizes WHERE n > 4),
@@ -78,7 +78,7 @@ def graph_distances(spark: SparkSession, sf: str) -> DataFrame:
  SELECT g, i, j, CAST(min(d) AS BIGINT) AS d FROM ways GROUP BY g, i, j""")
 def tree_distances(spark: SparkSession, sf: str) -> DataFrame:
     atoms = G.order_atoms(table(spark, sf, "lineitem"))
-    return G.distances(atoms, G.tree_bonds(atoms), 8).select(*(F.col(c).cast("bigint").alias(c) for c in ("g", "i", "j", "d")))
+    return G.distances(atoms, G.tree_bonds(atoms)).select(*(F.col(c).cast("bigint").alias(c) for c in ("g", "i", "j", "d")))
 
 
 @query(f"""WITH {DIST}, st AS (SELECT g, count(*) AS n, avg(w) AS m, sum(w * w) AS s2, sum(w * w) - count(*) * avg(w) * avg(w) AS sq FROM atoms GROUP BY g),
@@ -88,7 +88,7 @@ def tree_distances(spark: SparkSession, sf: str) -> DataFrame:
  CASE WHEN sq > 1e-9 THEN round((atsc / gsum) / (sq / n), 6) + 0.0 END AS mats, CASE WHEN sq > 1e-9 AND n > 1 THEN round((gap / (2 * gsum)) / (sq / (n - 1)), 6) END AS gats FROM far JOIN st ON st.g = far.g""")
 def autocorr_lags(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    out = rounded(G.autocorrelations(atoms, G.distances(atoms, bonds, REACH), REACH))
+    out = rounded(G.autocorrelations(atoms, G.distances(atoms, bonds, LAGS), LAGS))
     return out.withColumn("lag", F.col("lag").cast("bigint"))
 
 
@@ -103,7 +103,7 @@ def connectivity_indices(spark: SparkSession, sf: str) -> DataFrame:
  SELECT g, CAST(max(ecc) AS BIGINT) AS diameter, CAST(min(ecc) AS BIGINT) AS radius, CAST(sum(s) / 2 AS BIGINT) AS wpath, CAST(sum(p3) / 2 AS BIGINT) AS wpol, CASE WHEN min(ecc) > 0 THEN round((max(ecc) - min(ecc)) / min(ecc)::DOUBLE, 6) END AS shape FROM e GROUP BY g""")
 def distance_indices(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    out = rounded(G.distance_indices(atoms, G.distances(atoms, bonds, REACH)))
+    out = rounded(G.distance_indices(atoms, G.distances(atoms, bonds)))
     return out.withColumn("diameter", F.col("diameter").cast("bigint")).withColumn("radius", F.col("radius").cast("bigint"))
 
 
@@ -111,14 +111,14 @@ def distance_indices(spark: SparkSession, sf: str) -> DataFrame:
  SELECT sizes.g, round(CASE WHEN m IS NULL OR m - n + 2 = 0 THEN 0 ELSE m / (m - n + 2)::DOUBLE * t END, 6) AS balaban_j FROM sizes LEFT JOIN t ON t.g = sizes.g""")
 def balaban_index(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    return rounded(G.balaban(atoms, bonds, G.distances(atoms, bonds, REACH)))
+    return rounded(G.balaban(atoms, bonds, G.distances(atoms, bonds)))
 
 
 @query(f"""WITH {DIST}, m AS (SELECT a.g, a.i, b.j, sum(CASE WHEN b.d > 0 THEN 1.0 / (b.d * b.d) ELSE 0 END) AS m FROM dist a JOIN dist b ON a.g = b.g AND a.j = b.i WHERE a.d = 1 GROUP BY a.g, a.i, b.j)
  SELECT d.g, d.d AS lag, round(sum(abs(x.m - y.m)), 6) AS ggi, round(avg(abs(x.m - y.m)), 6) AS jgi FROM dist d JOIN m x ON x.g = d.g AND x.i = d.i AND x.j = d.j JOIN m y ON y.g = d.g AND y.i = d.j AND y.j = d.i WHERE d.i > d.j GROUP BY d.g, d.d""")
 def topological_charge(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    return rounded(G.topological_charge(bonds, G.distances(atoms, bonds, REACH), 10)).withColumn("lag", F.col("lag").cast("bigint"))
+    return rounded(G.topological_charge(bonds, G.distances(atoms, bonds), 10)).withColumn("lag", F.col("lag").cast("bigint"))
 
 
 @query(f"""WITH RECURSIVE {DIST}, near AS (SELECT g, i AS a, j AS b FROM dist WHERE d = 1), w AS (SELECT g, idx, 1::BIGINT AS c, 0 AS k FROM atoms UNION ALL SELECT w.g, n.a, w.c, w.k + 1 FROM w JOIN near n ON n.g = w.g AND n.b = w.idx WHERE w.k < 5)
@@ -141,7 +141,7 @@ def binned_sums(spark: SparkSession, sf: str) -> DataFrame:
  SELECT g, round(max(s), 6) AS s_max, round(min(s), 6) AS s_min, round(max(abs(s)), 6) AS s_absmax, round(min(abs(s)), 6) AS s_absmin FROM s GROUP BY g""")
 def estate_extremes(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    return rounded(G.estates(atoms, G.distances(atoms, bonds, REACH)))
+    return rounded(G.estates(atoms, G.distances(atoms, bonds)))
 
 
 @query(f"""WITH {ATOMS}, c AS (SELECT g, q - 0.05 AS q FROM atoms) SELECT g, round(coalesce(max(q) FILTER (WHERE q > 0) / sum(q) FILTER (WHERE q > 0), 0), 6) AS rpcg, round(coalesce(min(q) FILTER (WHERE q < 0) / sum(q) FILTER (WHERE q < 0), 0), 6) AS rncg FROM c GROUP BY g""")
@@ -153,7 +153,7 @@ def relative_charges(spark: SparkSession, sf: str) -> DataFrame:
  SELECT s.g, round(p.n / exp(l / p.n), 6) AS mde FROM sizes s LEFT JOIN p ON p.g = s.g""")
 def distance_edge(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    return rounded(G.distance_edge(atoms, bonds, G.distances(atoms, bonds, REACH), 2, 2))
+    return rounded(G.distance_edge(atoms, bonds, G.distances(atoms, bonds), 2, 2))
 
 
 @query(f"""WITH {ATOMS}, c AS (SELECT *, sum(CASE WHEN z % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY idx) AS b FROM atoms) SELECT g, idx, min(idx) OVER (PARTITION BY g, b) AS comp FROM c""")

@@ -135,3 +135,11 @@ def test_public_names(spark):
     assert len(api.featurize_all(t).columns) == 1270 + 3 and len(api.compute(t).columns) == 162 + 3 and len(api.minimal_columns()) == 256
     s = api.scaffolds(M.from_list(spark, ["Cc1ccccc1", "OCC", "nope"])).orderBy("mol_id").collect()
     assert s[0].scaffold and s[1].scaffold == "" and s[2].scaffold is None and s[0].canonical != s[1].canonical
+
+
+def test_distances_in_long_orders(spark, tmp_path):
+    """A ring of 20 lines is 10 bonds wide; nothing stops at the width of the small tables."""
+    spark.range(20).selectExpr("1L AS l_orderkey", "id AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "1.0D AS l_extendedprice", "1.0D AS l_quantity", "0.0D AS l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.i, r.j): r.d for r in registry.QUERIES["graph_distances"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j): min(abs(i - j), 20 - abs(i - j)) for i in range(20) for j in range(20)}
+    assert registry.QUERIES["distance_indices"](spark, str(tmp_path)).first().diameter == 10
