@@ -143,3 +143,8 @@ def test_distances_in_long_orders(spark, tmp_path):
     got = {(r.i, r.j): r.d for r in registry.QUERIES["graph_distances"](spark, str(tmp_path)).collect()}
     assert got == {(i, j): min(abs(i - j), 20 - abs(i - j)) for i in range(20) for j in range(20)}
     assert registry.QUERIES["distance_indices"](spark, str(tmp_path)).first().diameter == 10
+
+
+def test_default_set_of_all_molecules(spark, tmp_path):
+    spark.range(250).selectExpr("id AS l_orderkey", "1L AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "1.0D AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert registry.QUERIES["molecule_default_set"](spark, str(tmp_path)).select("mol_id").distinct().count() == 250
