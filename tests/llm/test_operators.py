@@ -302,7 +302,7 @@ def test_lines_of_one_form(spark):
 def test_line_normal_form(spark):
     rows = [(1, "Some words, here: (and) there\n---\n}\n\u2014\u2014"), (2, "some\twords here\u00a0and there!\n---\n}\n\u2014\u2014"), (3, "a,b;" * 500)]
     out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out[1] == rows[0][1] and out[2] == "---\n}\n\u2014\u2014" and out[3] == "a,b;" * 60
+    assert out[1] == rows[0][1] and out[2] == "---\n}\n\u2014\u2014" and out[3] == "a,b;" * 80
     assert max(len(re.findall("[ab]", p.raw)) for p in spark.createDataFrame(rows[2:], "doc_id long, text string").select(F.explode(lines.flat_pieces(F.col("text"))).alias("p")).select("p.raw").collect()) == lines.PIECE
 
 
