@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, scratch
 
+
 def _mix(x: Column) -> Column:
     """A bijection of 64-bit integers (xorshift), so that key order is random."""
     for left, right in ((13, 7), (21, 9)):
@@ -54,14 +55,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 #: Rows of a narrow table that are broadcast at most.
-SMALL_ROWS = 250_000
+SMALL_ROWS = 500_000
 
 
 def small(table: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row, broadcast if it has SMALL_ROWS rows at most; a larger one is joined by shuffle.
+    """A table of a few numbers a row, broadcast if it has SMALL_ROWS rows at most; a larger one is joined by shuffle.
 
-    The count comes from the files' footers; the table's size in a join is
-    so known before it, and bounded by some ten MB.
+    The count of a written table comes from the files' footers; the table's
+    size in a join is so known before it, and bounded by some ten MB.
     """
     return F.broadcast(table) if table.count() <= SMALL_ROWS else table
 
@@ -73,10 +74,15 @@ HEADS = 2
 
 
 def shared_entries(probes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of (entry, h1): the pairs (a, b) of entries of two, and (entry, n, h1) of the larger ones."""
-    met = cut(probes.groupBy("entry").agg(F.count("*").alias("n"), F.min("h1").alias("a"), F.max("h1").alias("b")).filter("n > 1"), f"{name}-met", sweep=True)
-    many = cut(probes.join(small(met.filter("n > 2").select("entry", "n")), "entry").select("entry", "n", "h1"), f"{name}-members", sweep=True)
-    return met.filter("n = 2 AND a <> b").select("a", "b"), many
+    """Of (entry, h1, size), repeats allowed: the pairs (a, b) of entries of two rows, and (entry, n, h1, size) of the larger ones.
+
+    Entries that hold one h1 alone are left out; size belongs to h1.
+    """
+    met = cut(probes.groupBy("entry").agg(F.count("*").alias("n"), F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b"), f"{name}-met")
+    many = probes.join(small(met.filter("n > 2").select("entry")), "entry").groupBy("entry", "h1").agg(F.min("size").alias("size"))
+    many = cut(many, f"{name}-members")
+    counts = small(cut(many.groupBy("entry").agg(F.count("*").alias("n")), f"{name}-counts"))
+    return met.filter("n = 2").select("a", "b"), many.join(counts, "entry").select("entry", "n", "h1", "size")
 
 
 def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -86,44 +92,48 @@ def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
-def decided_links(two: DataFrame, many: DataFrame, prove: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def decided_links(two: DataFrame, many: DataFrame, prove: Callable[[DataFrame], DataFrame], name: str, ratio: float) -> DataFrame:
     """Links (a, b) that connect what the similar pairs of ``shared_entries`` connect.
 
-    ``prove`` keeps the similar ones of some pairs. Every pair of an entry is
-    proved unless its ends are connected by then, so none is lost. Members
-    of a large entry are first compared with its smallest, one head after
-    another, which uses up a group of copies in linear work; after HEADS
-    rounds all pairs of different components are spelled out.
+    ``prove`` keeps the similar ones of some pairs; none is similar whose
+    sizes differ by more than ``ratio``, and such pairs aren't made. Every
+    other pair of an entry is proved unless its ends are connected by then,
+    so none is lost. Members of a large entry are first compared with its
+    smallest, one head after another, which uses up a group of copies in
+    linear work; after HEADS rounds all pairs of different components are
+    spelled out.
     """
-    few, big = many.filter(F.col("n") <= SMALL), many.filter(F.col("n") > SMALL).select("entry", "h1")
-    heads = big.groupBy("entry").agg(F.min("h1").alias("a"))
-    x, y = few.select("entry", F.col("h1").alias("a")), few.select("entry", F.col("h1").alias("b"))
-    pairs = two.select("a", "b").union(x.join(y, "entry").filter("a < b").select("a", "b"))
-    pairs = pairs.union(big.join(heads, "entry").filter("h1 <> a").select("a", F.col("h1").alias("b")))
-    pairs = cut(pairs.distinct(), f"{name}-pairs", sweep=True)
+    fit = f"least(sa, sb) >= greatest(sa, sb) * {ratio!r}D"
+    few, big = many.filter(F.col("n") <= SMALL).drop("n"), many.filter(F.col("n") > SMALL).drop("n")
+    as_ = lambda t, z: t.select("entry", F.col("h1").alias(z), F.col("size").alias(f"s{z}"))
+    heads = big.groupBy("entry").agg(F.min(F.struct("h1", "size")).alias("m")).select("entry", "m.*")
+    pairs = two.union(as_(few, "a").join(as_(few, "b"), "entry").filter(f"a < b AND {fit}").select("a", "b"))
+    pairs = pairs.union(as_(big, "b").join(as_(heads, "a"), "entry").filter(f"a <> b AND {fit}").select("a", "b"))
+    pairs = cut(pairs.distinct(), f"{name}-pairs")
     # a member's link with its smallest candidate first; what is connected by then needs no further proof
     tree = cut(prove(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), f"{name}-tree")
     links = cut(tree.union(prove(_across(pairs, tree))), f"{name}-links")
     if big.isEmpty():
         return links
+    seen = heads
     for k in range(1, HEADS + 1):
         known = components(links, "a", "b")
-        left = big.join(heads, "entry").filter("h1 <> a").select("entry", "h1").join(known, F.col("h1") == F.col("node"), "left")
-        left = cut(left.select("entry", "h1", F.coalesce("component", "h1").alias("c")), f"{name}-left")
+        left = big.join(seen.select("entry", F.col("h1").alias("head")), "entry").filter("h1 <> head").drop("head")
+        left = left.join(known, F.col("h1") == F.col("node"), "left").select("entry", "h1", "size", F.coalesce("component", "h1").alias("c"))
+        left = cut(left, f"{name}-left")
         undecided = left.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("entry")
         left = cut(left.join(undecided, "entry", "left_semi"), f"{name}-left")
         if left.isEmpty():
             break
-        big = left.select("entry", "h1")
-        y = left.select("entry", F.col("h1").alias("b"), F.col("c").alias("cb"))
+        big = left.select("entry", "h1", "size")
+        y = left.select("entry", F.col("h1").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"))
         if k < HEADS:
-            x = left.groupBy("entry").agg(F.min(F.struct("h1", "c")).alias("m")).select("entry", F.col("m.h1").alias("a"), F.col("m.c").alias("ca"))
-            heads = cut(x.select("entry", "a"), f"{name}-heads")
-            open_ = x.join(y, "entry").filter("ca <> cb")
+            seen = cut(left.groupBy("entry").agg(F.min(F.struct("h1", "size", "c")).alias("m")).select("entry", "m.*"), f"{name}-heads")
+            open_ = seen.select("entry", F.col("h1").alias("a"), F.col("size").alias("sa"), F.col("c").alias("ca")).join(y, "entry").filter(f"ca <> cb AND {fit}")
         else:
-            x = left.select("entry", F.col("h1").alias("a"), F.col("c").alias("ca"))
-            open_ = x.join(y, "entry").filter("a < b AND ca <> cb")
-        open_ = cut(open_.select("a", "b").distinct(), f"{name}-open", sweep=True)
+            x = left.select("entry", F.col("h1").alias("a"), F.col("size").alias("sa"), F.col("c").alias("ca"))
+            open_ = x.join(y, "entry").filter(f"a < b AND ca <> cb AND {fit}")
+        open_ = cut(open_.select("a", "b").distinct(), f"{name}-open")
         links = cut(links.union(prove(open_)), f"{name}-links")
     return links
 

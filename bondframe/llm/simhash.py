@@ -150,17 +150,21 @@ def band_keys(x: np.ndarray) -> list[int] | None:
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h1, h2, keys): two hashes of the whole text and the table entries of its shingles."""
+    """(doc_id, h1, h2, size, keys): two hashes of the whole text, the number of its shingles and their table entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [band_keys(shingles(t.as_py(), width)) for t in b.column("text")]
+            sizes, rows = [], []
+            for t in b.column("text"):
+                x = shingles(t.as_py(), width)
+                sizes.append(len(x))
+                rows.append(band_keys(x))
             keys = [pa.array([r and r[k] for r in rows], pa.int64()) for k in range(BANDS)]
-            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "h1", "h2")), *keys], names=["doc_id", "h1", "h2", *KEYS])
+            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "h1", "h2")), pa.array(sizes, pa.int32()), *keys], names=["doc_id", "h1", "h2", "size", *KEYS])
 
     text = F.coalesce("text", F.lit(""))
     hashed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"))
-    return map_arrow(hashed, run, "doc_id bigint, h1 bigint, h2 bigint, " + ", ".join(f"{c} bigint" for c in KEYS))
+    return map_arrow(hashed, run, "doc_id bigint, h1 bigint, h2 bigint, size int, " + ", ".join(f"{c} bigint" for c in KEYS))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -170,49 +174,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").filter(fit).select("a", "b")
 
 
-def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of every row: groups of near duplicates.
-
-    Two texts link when the Jaccard similarity of their shingles of
-    ``width`` words is ``similarity`` or more. Candidates come from MinHashes
-    of those very shingles, in BANDS bands of ROWS: a pair at 0.8 is missed
-    with a probability under 3e-5, whether words were replaced, cut or added.
-    Shingle sets, counted in full, confirm them. Equal texts are one entry
-    from the start; ``decided_links`` proves or connects every two texts that
-    share a table entry, however many the entry has. Texts without words are
-    duplicates of equal texts alone; null counts as empty. Null ids, repeated
-    rows, empty tables: as ``simhash_groups``.
-    """
+def _grouped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, h1, h2, first) of every row: first is (no id, doc_id, h1, h2) of the text that stands for its group."""
     docs = docs_only(docs, doc_id="bigint", text="string")
     rows = cut(_sketches(docs, width), "near-sketches")
-    reps = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in KEYS))
+    reps = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("size").alias("size"), *(F.min(c).alias(c) for c in KEYS))
     reps = cut(reps, "near-reps")
     with scratch() as keep:
-        probes = reps.filter("k0 IS NOT NULL").select(F.explode(F.array(*KEYS)).alias("entry"), "h1")
+        probes = reps.filter("k0 IS NOT NULL").select(F.explode(F.array(*KEYS)).alias("entry"), "h1", "size")
         two, many = shared_entries(probes, "near")
-        ids = two.select(F.col("a").alias("h1")).union(two.select("b")).union(many.select("h1")).distinct()
-        places = small(cut(reps.join(ids, "h1").select("h1", F.col("least").alias("doc_id")), "near-places"))
+        ids = small(two.select(F.col("a").alias("h1")).union(two.select("b")).union(many.select("h1")).distinct())
+        places = small(cut(reps.join(ids, "h1").select("h1", F.col("least").alias("id")), "near-places"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield pa.record_batch([b.column("h1"), pa.array([shingles(t.as_py(), width) for t in b.column("text")], pa.list_(pa.int64()))], names=["h1", "x"])
 
-        texts = docs.filter("text IS NOT NULL").withColumn("h1", F.xxhash64("text")).join(places, ["doc_id", "h1"]).select("h1", "text")
+        texts = docs.filter("text IS NOT NULL").withColumn("h1", F.xxhash64("text")).join(places, "h1").filter("doc_id <=> id").select("h1", "text")
         sets = cut(map_arrow(texts, run, "h1 bigint, x array<bigint>").dropDuplicates(["h1"]), "near-sets")
-        links = keep(decided_links(two, many, lambda pairs: _verified(pairs, sets, similarity), "near"))
+        links = keep(decided_links(two, many, lambda pairs: _verified(pairs, sets, similarity), "near", similarity))
     groups = components(links, "a", "b").select(F.col("node").alias("h1"), F.col("component").alias("group"))
     reps = reps.select("h1", "h2", "least").join(groups, "h1", "left").withColumn("group", F.coalesce("group", "h1"))
-    ids = reps.groupBy("group").agg(F.min("least").alias("component_id"))
-    reps = reps.join(ids, "group").select("h1", "h2", "component_id")
-    return rows.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "component_id")
+    first = reps.groupBy("group").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "h1", "h2")).alias("first"))
+    reps = reps.join(first, "group").select("h1", "h2", "first")
+    return rows.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"])
+
+
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of near duplicates.
+
+    Two texts link when the Jaccard similarity of their shingles of
+    ``width`` words is ``similarity`` or more. Candidates come from MinHashes
+    of those very shingles, in BANDS bands of ROWS: a pair at 0.8 is missed
+    with a probability under 3e-5, whether words were replaced, cut or added.
+    Shingle sets, counted in full, confirm them. Equal texts are one entry
+    from the start; ``decided_links`` proves or connects every two texts that
+    share a table entry, however many the entry has. Texts without words are
+    duplicates of equal texts alone; null counts as empty. Texts of rows
+    without an id link like any other. Null ids, repeated rows, empty tables:
+    as ``simhash_groups``.
+    """
+    return _grouped(docs, width, similarity).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the smallest doc_id.
 
-    Of rows that share that doc_id one stays; rows with a null doc_id stay,
-    for nothing tells them apart.
+    Of equal rows with that doc_id one stays, and of different texts with it
+    the one of the least hash; different texts of one doc_id that aren't near
+    duplicates each stay. Rows with a null doc_id stay, for nothing tells
+    them apart.
     """
-    groups = near_groups(docs, width, similarity).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    kept = _grouped(docs, width, similarity).filter("doc_id = first.doc_id AND h1 = first.h1 AND h2 = first.h2")
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.withColumns({"_own1": F.xxhash64(text), "_own2": F.xxhash64(F.lit(7), text)})
+    own = own.join(small(kept), (F.col("doc_id") == F.col("_id")) & (F.col("_own1") == F.col("_h1")) & (F.col("_own2") == F.col("_h2")), "left_semi")
+    return own.dropDuplicates(["doc_id", "_own1", "_own2"]).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
