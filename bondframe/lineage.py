@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,24 +17,26 @@ _OPEN: list[list[str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, one machine) gets a folder
-    of its own.
+    Only a session on one machine may do without that setting: it gets a
+    folder of its own. On a cluster executors couldn't read each other's.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="bondframe-"))
     return _OWN[0]
 
 
-def cut(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
     The result's lineage starts at files, so a lost executor costs a reread
     and not the work before it. The table goes when the driver ends, or with
-    the ``scratch`` block it was made in. ``sweep`` also lets go of the
-    shuffle files that led to it.
+    the ``scratch`` block it was made in.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -43,9 +44,6 @@ def cut(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
     if _OPEN:
         _OPEN[-1].append(path)
     atexit.register(drop, spark, path)
-    if sweep:
-        gc.collect()
-        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
     return out
