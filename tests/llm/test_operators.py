@@ -263,7 +263,14 @@ def plain_dedup(rows):
     at = [(i, p, j) for j, (i, t) in enumerate(rows) if i is not None and t is not None for p in range(len(t.split("\n")))]
     norm = {x: plain_normal(rows[x[2]][1].split("\n")[x[1]]) for x in at}
     texts = sorted({v for v in norm.values() if v})
-    group = find([(a, b) for a in texts for b in texts if a < b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and distance(a, b) <= 0.2 * max(len(a), len(b))], texts)
+
+    def alike(a, b):
+        fit = lambda x, y, most: abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and distance(x, y) <= min(most, 0.2 * max(len(x), len(y)))
+        if min(len(a), len(b)) <= lines.SHORT:
+            return fit(a, b, 10**9)
+        return fit(a.split(), b.split(), 10**9) or fit(a, b, lines.FEW)
+
+    group = find([(a, b) for a in texts for b in texts if a < b and alike(a, b)], texts)
     first = {}
     for x in sorted(at):
         if norm[x]:
