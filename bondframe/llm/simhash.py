@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -52,28 +53,62 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return map_arrow(docs_only(docs, doc_id="bigint", text="string"), run, "doc_id bigint, fp bigint")
 
 
+#: Bits at which fingerprints link, at most.
+DISTANCE = 2
+#: Fingerprints of a table entry up to which all of them are fetched.
+BUCKET = 64
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _segments(segments: int) -> list[tuple[int, int, int]]:
+    """(shift, bits, radius) of each segment that is searched.
+
+    DISTANCE + 1 shares are dealt over the segments; one with s shares is
+    searched within s - 1 bits. If every segment differed by its shares or
+    more, the whole would differ by more than DISTANCE: so some segment of
+    two linked fingerprints lies within its radius.
+    """
+    if not 1 <= segments <= 64:
+        raise ValueError("segments must be 1 to 64")
+    ends = [64 * k // segments for k in range(segments + 1)]
+    shares = [(DISTANCE + 1) // segments + (k < (DISTANCE + 1) % segments) for k in range(segments)]
+    return [(lo, hi - lo, s - 1) for lo, hi, s in zip(ends, ends[1:], shares) if s]
+
+
+def _ball(bits: int, radius: int) -> list[int]:
+    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
+
+
 def fingerprint_links(fps: DataFrame, segments: int = 2) -> DataFrame:
-    """Star links (fp, peer) that join all distinct ``fp`` within 2 bits.
-
-    Multi-index hashing: in every segment a fingerprint enumerates the ball
-    of radius 1 and looks each value up in the table that is keyed by that
-    segment and the segments beside it. Fingerprints at 2 bits or fewer meet:
-    one flips its bit in one segment, the other its own bit in the same or
-    in the other segment, and both reach the same entry; those that meet are
-    2 bits apart at most, which the complete distance then confirms. An entry
-    is reached by at most 65 fingerprints, so no entry is hot and no pairs
-    are spelled out: each is linked with the smallest in its entry.
+    """Links (fp, peer) that connect all distinct ``fp`` within DISTANCE bits.
+
+    Multi-index hashing: one table a segment, keyed by the segment's value.
+    A fingerprint enumerates the Hamming ball around its own value in each
+    segment (see ``_segments``; with two, radius 1 in one and the value
+    itself in the other), fetches the fingerprints under those values and
+    verifies the complete distance. Values that over BUCKET fingerprints
+    share are not fetched: the fingerprints that ask for them meet at whole
+    values one flipped bit away instead, where two at DISTANCE meet and at
+    most 65 ever do. So no entry is hot, and no link is lost.
     """
-    if 64 % segments:
-        raise ValueError("segments must divide 64")
-    size = 64 // segments
-    balls = [[1 << (s * size + i) for i in range(size)] for s in range(segments)]
-    flips = [0, *(f - (1 << 64) if f >> 63 else f for ball in balls for f in ball)]
-    probes = fps.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(f)) for f in flips))).alias("entry"))
-    met = probes.groupBy("entry").agg(F.min("fp").alias("peer"), F.max("fp").alias("fp"), F.count("*").alias("n")).filter("n > 1")
-    met = cut(met, "simhash-met")
-    links = met.select("fp", "peer").union(probes.join(met.filter("n > 2").select("entry", "peer"), "entry").select("fp", "peer")).filter("fp <> peer")
-    return links.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("peer"))) <= 2).distinct()
+    parts = _segments(segments)
+    value = lambda lo, bits: F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit(_signed((1 << bits) - 1)))
+    key = lambda k, v: F.struct(F.lit(k).alias("segment"), v.alias("value"))
+    table = fps.select("fp", F.explode(F.array(*(key(k, value(lo, bits)) for k, (lo, bits, _) in enumerate(parts)))).alias("e")).select("e.*", F.col("fp").alias("peer"))
+    asked = [key(k, value(lo, bits).bitwiseXOR(F.lit(_signed(f)))) for k, (lo, bits, radius) in enumerate(parts) for f in _ball(bits, radius)]
+    probes = fps.select("fp", F.explode(F.array(*asked)).alias("e")).select("e.*", "fp")
+    hot = small(cut(table.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET).select("segment", "value"), "simhash-hot"))
+    fetched = probes.join(hot, ["segment", "value"], "left_anti").join(table, ["segment", "value"])
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("peer"))) <= DISTANCE
+    links = fetched.filter((F.col("fp") < F.col("peer")) & near).select("fp", "peer")
+    many = cut(probes.join(hot, ["segment", "value"], "left_semi").select("fp").distinct(), "simhash-many")
+    flips = [0, *(_signed(1 << i) for i in range(64))]
+    whole = many.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(f)) for f in flips))).alias("entry"))
+    met = cut(whole.groupBy("entry").agg(F.min("fp").alias("peer"), F.count("*").alias("n")).filter("n > 1").select("entry", "peer"), "simhash-met")
+    return links.union(whole.join(met, "entry").filter((F.col("fp") != F.col("peer")) & near).select("fp", "peer")).distinct()
 
 
 def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:
