@@ -15,7 +15,7 @@ PART = r"[A-Za-z0-9+/]{16,}"
 ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+"""
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ["assign", "access", "hex", "ident", "secret", "endpoint"]
-#: Code points of a scope block; parts co-occur in a block and its neighbours.
+#: Code points between the starts of two parts up to which each lies in the other's scope.
 SCOPE = 512
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -48,14 +48,9 @@ def find_spans(text: Column, pattern: str, kind: int, least: int, group: int = 0
     return F.when(text.rlike(gate or pattern), spans).otherwise(_none())
 
 
-def _blocks(spans: Column) -> Column:
-    return F.array_distinct(F.transform(spans, lambda s: F.floor(s["start"] / SCOPE).cast("int")))
-
-
-def _near(spans: Column, blocks: Column) -> Column:
-    """Those spans whose block, or one beside it, is among ``blocks``."""
-    block = lambda s: F.floor(s["start"] / SCOPE).cast("int")
-    return F.filter(spans, lambda s: F.arrays_overlap(blocks, F.array(block(s) - 1, block(s), block(s) + 1)))
+def _near(spans: Column, others: Column) -> Column:
+    """Those spans in whose scope one of ``others`` starts."""
+    return F.filter(spans, lambda s: F.exists(others, lambda o: F.abs(o["start"] - s["start"]) <= SCOPE))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -68,10 +63,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     (http and https urls). Base access spans are identifiers too, base
     assign and hex spans secrets. A weak identifier counts only with a
     secret in its scope, a weak secret only with an identifier, an endpoint
-    only with both; the scope is the block of SCOPE code points in which a
-    span starts and the two beside it. The interval join of the parts with
-    the scopes runs inside each row, over the blocks that hold each part, so
-    there is no shuffle and no key that could be hot.
+    only with both. The scope of a part is the interval of SCOPE code points
+    to either side of its start. The interval join of the parts runs inside
+    each row, so there is no shuffle and no key that could be hot; its work
+    is the product of a row's identifiers and secrets.
 
     Null text counts as empty; rows without a span return empty arrays;
     repeated rows stay.
@@ -90,11 +85,12 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     part = F.when(some, F.array_compact(F.transform(find_spans(t, PART, 3, 16), lambda s: _weak(t, s)))).otherwise(_none())
     d = d.withColumn("part", part)
     d = d.withColumn("ident", F.filter("part", lambda s: s["kind"] == 3)).withColumn("secret", F.filter("part", lambda s: s["kind"] == 4))
-    d = d.withColumn("ib", _blocks(F.concat("access", "ident"))).withColumn("sb", _blocks(F.concat("assign", "hex", "secret")))
-    both = (F.size("ib") > 0) & (F.size("sb") > 0)
+    d = d.withColumn("idents", F.concat("access", "ident")).withColumn("secrets", F.concat("assign", "hex", "secret"))
+    both = (F.size("idents") > 0) & (F.size("secrets") > 0)
     ends = F.when(both & F.contains(t, F.lit("://")), find_spans(t, ENDPOINT, 5, 1)).otherwise(_none())
     d = d.withColumn("endpoint", ends)
-    weak = F.when(both, F.concat(_near(F.col("ident"), F.col("sb")), _near(F.col("secret"), F.col("ib")), _near(_near(F.col("endpoint"), F.col("sb")), F.col("ib")))).otherwise(_none())
+    i, s = F.col("idents"), F.col("secrets")
+    weak = F.when(both, F.concat(_near(F.col("ident"), s), _near(F.col("secret"), i), _near(_near(F.col("endpoint"), s), i))).otherwise(_none())
     base = F.concat("assign", "access", "hex")
     return d.select("doc_id", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, weak)).alias("spans"))
 

@@ -53,7 +53,7 @@ def secret_scan() -> str:
     names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
     part = f"""SELECT r, CASE WHEN n <= 32 AND x SIMILAR TO '[A-Z0-9]*[A-Z][A-Z0-9]*' AND regexp_matches(x, '[0-9]') THEN 3 WHEN n BETWEEN 20 AND 128 AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]') THEN 4 END AS kind, s, e
  FROM (SELECT p.r, s, e, e - s AS n, substr(t, s::INT + 1, (e - s)::INT) AS x FROM ({spans(secrets.PART, 3, 16)}) p JOIN d ON d.r = p.r)"""
-    near = lambda kinds: f"EXISTS (SELECT 1 FROM every o WHERE o.r = w.r AND o.kind IN ({kinds}) AND abs(o.s // {secrets.SCOPE} - w.s // {secrets.SCOPE}) <= 1)"
+    near = lambda kinds: f"EXISTS (SELECT 1 FROM every o WHERE o.r = w.r AND o.kind IN ({kinds}) AND abs(o.s - w.s) <= {secrets.SCOPE})"
     joined = lambda cond: f"coalesce(string_agg(concat({names}[kind + 1], ':', s::BIGINT, ':', e::BIGINT), ',' ORDER BY s, kind) FILTER (WHERE {cond}), '')"
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), base AS ({spans(secrets.ASSIGN, 0, 12, 2)} UNION ALL {spans(secrets.ACCESS, 1, 18)} UNION ALL {spans(secrets.HEX, 2, 16)}),
  part AS ({part}), ends AS ({spans(secrets.ENDPOINT, 5, 1)}), every AS (SELECT * FROM base UNION ALL SELECT * FROM part WHERE kind IS NOT NULL UNION ALL SELECT * FROM ends),
