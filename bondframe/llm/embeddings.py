@@ -138,39 +138,60 @@ def _beam(x: np.ndarray, near: np.ndarray, q: np.ndarray, start: np.ndarray, bea
     return ids, sims
 
 
-def block_links(graph: Graph, queries: np.ndarray, cosine: float, audit: int = AUDIT, recall: float = RECALL) -> tuple[list[tuple[int, np.ndarray]], float, int]:
-    """(query row, rows of the index at ``cosine`` or more) of a block; recall of the audit; last beam.
+def block_links(graph: Graph, queries: np.ndarray, cosine: float, audit: int = AUDIT, recall: float = RECALL) -> tuple[list[tuple[int, np.ndarray]], int, int]:
+    """(query row, rows of the index at ``cosine`` or more) of a block; links that the audit found, links that it looked for.
 
     Queries whose beam ends on a match are searched again with twice the
-    beam, until the beam ends below the threshold or holds the whole index.
-    Evenly spaced queries are audited by brute force; when they miss too
-    much, all queries are searched with twice the beam.
+    beam, until the beam ends below the threshold; one that holds an eighth
+    of the index is a scan of it. Spread queries are audited by brute force,
+    ``audit`` after ``audit`` until as many links are met or an eighth of
+    the block is audited; when they miss too much, all queries are searched
+    with twice the beam.
     """
-    n, q32 = len(graph.x), queries.astype(np.float32)
-    picked = np.unique(np.linspace(0, len(q32) - 1, min(audit, len(q32))).astype(int))
-    truth = q32[picked] @ graph.x.T >= cosine
-    beam, slack = BEAM, 1e-5
+    n, q32, slack = len(graph.x), queries.astype(np.float32), 1e-5
+    spread, truth, links = np.random.RandomState(len(q32)).permutation(len(q32)), {}, 0
+    for at in range(0, max(audit, len(q32) // 8), audit):
+        for i in spread[at : at + audit]:
+            truth[int(i)] = np.flatnonzero(graph.x @ q32[i] >= cosine)
+            links += len(truth[int(i)])
+        if links >= audit:
+            break
+    beam = BEAM
     while True:
         found: dict[int, np.ndarray] = {}
-        todo, b = np.arange(len(q32)), min(beam, n)
+        todo, b = np.arange(len(q32)), beam
         while len(todo):
             again = []
             for at in range(0, len(todo), 512):
                 part = todo[at : at + 512]
+                if 8 * b >= n:
+                    for i, row in zip(part, q32[part] @ graph.x.T >= cosine - slack):
+                        found[int(i)] = np.flatnonzero(row)
+                    continue
                 ids, sims = graph.search(q32[part], b)
-                full = (ids[:, -1] >= 0) & (sims[:, -1] >= cosine - slack) & (b < n)
+                full = (ids[:, -1] >= 0) & (sims[:, -1] >= cosine - slack)
                 for i in np.flatnonzero(~full):
                     found[int(part[i])] = ids[i][(ids[i] >= 0) & (sims[i] >= cosine - slack)]
                 again.append(part[full])
-            todo, b = np.concatenate(again), min(2 * b, n)
-        hits = total = 0
-        for i, t in zip(picked, truth):
-            hits += int(t[found[int(i)]].sum())
-            total += int(t.sum())
-        got = hits / total if total else 1.0
-        if got >= recall or beam >= n:
-            return sorted(found.items()), got, beam
-        beam = min(2 * beam, n)
+            todo, b = np.concatenate(again) if again else todo[:0], 2 * b
+        hits = sum(len(np.intersect1d(t, found[i])) for i, t in truth.items())
+        if hits >= recall * links or 8 * beam >= n:
+            return sorted(found.items()), hits, links
+        beam *= 2
+
+
+def spanning(hit: np.ndarray) -> list[tuple[int, int]]:
+    """(row, row) edges that connect what the symmetric boolean matrix connects."""
+    out, open_ = [], hit.any(1)
+    while open_.any():
+        first = int(open_.argmax())
+        open_[first] = False
+        front = np.array([first])
+        while len(front):
+            front = np.flatnonzero(hit[front].any(0) & open_)
+            open_[front] = False
+            out += [(first, int(i)) for i in front]
+    return out
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -186,7 +207,13 @@ def nodes_of(table: DataFrame) -> DataFrame:
 
 
 def embedding_links(nodes: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
-    """Links (a, b, cosine) between the different ``node``s of (node, label, embedding).
+    """What links the different ``node``s of (node, label, embedding, copies).
+
+    Rows (node, others, peer): others counts the copies of the nodes that
+    are linked with node within two shards, peer is null or connects node
+    with them; all links of a group are counted and connected, but not
+    spelled out. Rows with a null node: others links looked for by the
+    audits, of which peer were found.
 
     A label's vectors are hashed over shards of about ``shard``; each shard
     is built into a graph once. Every shard is queried with every block of
@@ -195,67 +222,82 @@ def embedding_links(nodes: DataFrame, cosine: float = COSINE, shard: int = SHARD
     lengths never link.
     """
     kind = F.to_json(F.struct("label", F.size("embedding").alias("dim"))).alias("name")
-    nodes = nodes.select(kind, "node", "embedding")
+    nodes = nodes.select(kind, "node", "embedding", "copies")
     sizes = nodes.groupBy("name").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     nodes = nodes.join(sizes, "name").withColumn("shard", F.pmod(F.col("node"), F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         x = _unit(pdf["embedding"].tolist())
-        blob = pickle.dumps((pdf["node"].to_numpy(), x, Graph(x.astype(np.float32))))
+        vectors = (pdf["node"].to_numpy(), pdf["copies"].to_numpy(), x)
         one = pdf.iloc[0]
-        return pd.DataFrame({"name": [one["name"]], "shard": [one["shard"]], "shards": [one["shards"]], "blob": [blob]})
+        return pd.DataFrame({"name": [one["name"]], "shard": [one["shard"]], "shards": [one["shards"]], "graph": [pickle.dumps(Graph(x.astype(np.float32)))], "vectors": [pickle.dumps(vectors)]})
 
     ship(nodes.sparkSession)
-    graphs = nodes.groupBy("name", "shard").applyInPandas(build, "name string, shard int, shards int, blob binary")
+    graphs = nodes.groupBy("name", "shard").applyInPandas(build, "name string, shard int, shards int, graph binary, vectors binary")
     graphs = cut(graphs, "vec-graphs")
     # each unordered pair of shards of a label once
-    index = graphs.select("name", F.col("shard").alias("i"), F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("q"), F.col("blob").alias("index"))
-    block = graphs.select("name", F.col("shard").alias("q"), F.explode(F.sequence(F.col("shard"), F.col("shards") - 1)).alias("i"), F.col("blob").alias("block"))
+    index = graphs.select("name", F.col("shard").alias("i"), F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("q"), "graph", F.col("vectors").alias("index"))
+    block = graphs.select("name", F.col("shard").alias("q"), F.explode(F.sequence(F.col("shard"), F.col("shards") - 1)).alias("i"), F.col("vectors").alias("block"))
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, x, graph = pickle.loads(batch.column("index")[i].as_py())
-                qids, q, _ = pickle.loads(batch.column("block")[i].as_py())
-                a, b, c = [], [], []
-                for row, hits in block_links(graph, q, cosine)[0]:
-                    cos = x[hits] @ q[row]
-                    ok = (cos >= cosine) & (ids[hits] != qids[row])
-                    a.append(np.full(int(ok.sum()), qids[row]))
-                    b.append(ids[hits][ok])
-                    c.append(cos[ok])
-                a, b, c = (np.concatenate(z) if z else np.zeros(0) for z in (a, b, c))
-                lo, hi = np.minimum(a, b), np.maximum(a, b)
-                yield pa.record_batch([pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(c, pa.float64())], names=["a", "b", "cosine"])
-
-    pairs = index.join(block, ["name", "i", "q"]).select("index", "block")
-    links = map_arrow(pairs, query, "a bigint, b bigint, cosine double")
-    return cut(links.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "vec-links")
+                graph = pickle.loads(batch.column("graph")[i].as_py())
+                ids, copies, x = pickle.loads(batch.column("index")[i].as_py())
+                qids, qcopies, q = pickle.loads(batch.column("block")[i].as_py())
+                same = ids[0] == qids[0]
+                hit = np.zeros((len(qids), len(ids)), bool)
+                pairs, found, looked = block_links(graph, q, cosine)
+                for row, near in pairs:
+                    hit[row, near[x[near] @ q[row] >= cosine]] = True
+                if same:
+                    hit |= hit.T
+                    np.fill_diagonal(hit, False)
+                    own, others = [ids], [hit @ copies]
+                else:
+                    own, others = [qids, ids], [hit @ copies, qcopies @ hit]
+                    n = len(qids)
+                    both = np.zeros((n + len(ids),) * 2, bool)
+                    both[:n, n:], both[n:, :n], hit = hit, hit.T, both
+                node, count = np.concatenate(own), np.concatenate(others)
+                some = np.flatnonzero(count)
+                edges = spanning(hit)
+                a = pa.array([*node[some].tolist(), *(int(node[a]) for a, _ in edges), None], pa.int64())
+                n = pa.array([*count[some].tolist(), *[0] * len(edges), looked], pa.int64())
+                peer = pa.array([*[None] * len(some), *(int(node[b]) for _, b in edges), found], pa.int64())
+                yield pa.record_batch([a, n, peer], names=["node", "others", "peer"])
+
+    pairs = index.join(block, ["name", "i", "q"]).select("graph", "index", "block")
+    return cut(map_arrow(pairs, query, "node bigint, others bigint, peer bigint"), "vec-links")
 
 
 def dedup_embeddings(table: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
-    """(vec_id, label, n_links, component_id, kept) of every row.
+    """(vec_id, label, n_links, component_id, kept, recall) of every row.
 
     Vectors of equal, non-null label link at a cosine of ``cosine`` or more
     in double precision. Null and zero vectors, vectors with a null or
     non-finite component and rows without a label or vec_id link with
     nothing: they are components of their own. Rows of one vec_id are
-    vectors of their own. An empty table gives an empty result.
+    vectors of their own. recall is the share of the links that the audits
+    looked for by brute force and the graphs had found (1 if there were
+    none). An empty table gives an empty result.
     """
     t = docs_only(table, vec_id="bigint", embedding="array<double>", label="bigint")
     t = nodes_of(t)
     # equal vectors are one node: a hot vector costs nothing
     same = t.filter("node IS NOT NULL").groupBy("node", "label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     same = cut(same, "vec-nodes")
-    links = embedding_links(same, cosine, shard)
+    found = embedding_links(same, cosine, shard)
     same = same.select("node", "least", "copies")
-    both = links.select("a", "b").union(links.select("b", "a"))
-    degree = both.join(same, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("copies").alias("others"))
-    groups = components(links, "a", "b").select(F.col("node").alias("a"), F.col("component").alias("group"))
+    audit = found.filter("node IS NULL").agg(F.sum("others").alias("looked"), F.sum("peer").alias("found")).first()
+    recall = audit["found"] / audit["looked"] if audit["looked"] else 1.0
+    links = found.filter("node IS NOT NULL")
+    degree = links.filter("others > 0").groupBy(F.col("node").alias("a")).agg(F.sum("others").alias("others"))
+    groups = components(links.filter("peer IS NOT NULL"), "node", "peer").select(F.col("node").alias("a"), F.col("component").alias("group"))
     r = same.join(degree, same.node == degree.a, "left").drop("a").join(groups, F.col("node") == F.col("a"), "left").drop("a")
     r = r.select("node", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("group", "node").alias("group"))
     r = r.join(r.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("node", "n_links", "component_id")
     out = t.select("vec_id", "label", "node").join(r, "node", "left")
     out = out.select("vec_id", "label", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumn("recall", F.lit(float(recall)))

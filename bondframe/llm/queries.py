@@ -62,7 +62,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = embeddings.dedup_embeddings(table(spark, sf_dir, "embeddings"))
-    return out.select("vec_id", "n_links", "component_id", "kept")
+    return out.select("vec_id", "n_links", "component_id", "kept", "recall")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
