@@ -12,24 +12,24 @@ from pyspark.sql import functions as F
 from ..ship import map_arrow
 from .common import docs_only
 
-#: Bytes of a window at most: the network runs over a word, or a part of one.
-WINDOW = 16
+#: Bytes that a window labels, and bytes of the text to either side that the network reads before them.
+SPAN, EDGE = 240, 16
 HIDDEN = 12
-#: Labelled documents and characters of each that training uses at most.
-TRAIN_DOCS, TRAIN_CHARS = 3000, 1500
-#: Windows of each language, passes over them and windows of a batch.
-TRAIN_WINDOWS, EPOCHS, BATCH = 12_000, 6, 256
-#: Windows that a worker remembers.
-REMEMBERED = 1 << 19
-_SLICE = 1 << 17
+#: Labelled documents that training uses at most (about), and windows of each, from hashed places of the whole text.
+TRAIN_DOCS, TRAIN_WINDOWS = 3000, 2
+#: Bytes that a training window labels, passes over the windows and windows of a batch.
+TRAIN_SPAN, EPOCHS, BATCH = 64, 6, 64
+#: Windows that are labelled together.
+TOGETHER = 512
 
 
-def windows(text: str) -> list[bytes]:
-    """The lower-cased text's words, cut after every WINDOW bytes; they make up the whole text but its white space."""
-    words = text.lower().encode().split()
-    if max(map(len, words), default=0) <= WINDOW:
-        return words
-    return [w[i : i + WINDOW] for w in words for i in range(0, len(w), WINDOW)]
+def windows(text: str, span: int = SPAN) -> tuple[np.ndarray, int]:
+    """The lower-cased text's bytes in rows of EDGE + span + EDGE, each the next span with its surroundings, zeros outside the text; and their number."""
+    data = np.frombuffer(text.lower().encode(), np.uint8)
+    rows = -(-len(data) // span)
+    flat = np.zeros(rows * span + 2 * EDGE, np.uint8)
+    flat[EDGE : EDGE + len(data)] = data
+    return np.lib.stride_tricks.sliding_window_view(flat, span + 2 * EDGE)[::span] if rows else np.zeros((0, span + 2 * EDGE), np.uint8), len(data)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -51,11 +51,12 @@ class BiGru:
             self.w |= {f"in_{d}": r.normal(0, 0.5, (256, 3 * hidden)), f"rec_{d}": r.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden))}
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def _pass(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States (steps, windows, hidden) of one direction over bytes (windows, steps)."""
+    def _pass(self, x: np.ndarray, d: str, keep: list | None = None, inside: np.ndarray | None = None) -> np.ndarray:
+        """States (steps, windows, hidden) of one direction over bytes (windows, steps); zero where not ``inside``."""
         h, w, rec = self.hidden, self.w[f"in_{d}"], self.w[f"rec_{d}"]
         state = np.zeros((len(x), h), np.float32)
         out = np.empty((x.shape[1], len(x), h), np.float32)
+        partly = np.zeros(x.shape[1], bool) if inside is None else ~inside.all(0)
         for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
             a, b = w[x[:, t]], state @ rec
             zr = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
@@ -63,12 +64,15 @@ class BiGru:
             c = np.tanh(a[:, 2 * h :] + r * b[:, 2 * h :])
             if keep is not None:
                 keep.append((t, state, z, r, c, b[:, 2 * h :]))
-            state = out[t] = c + z * (state - c)
+            state = c + z * (state - c)
+            if partly[t]:
+                state *= inside[:, t, None]
+            out[t] = state
         return out
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Log probabilities (steps, windows, languages) at every byte."""
-        s = np.concatenate([self._pass(x, "f"), self._pass(x, "b")], 2)
+    def positions(self, x: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """Log probabilities (steps, windows, languages) at every byte but the EDGE on either side."""
+        s = np.concatenate([self._pass(x, d, inside=inside)[EDGE:-EDGE] for d in "fb"], 2)
         return _log_softmax(s @ self.w["out"] + self.w["bias"])
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -101,22 +105,17 @@ class BiGru:
             g |= {f"in_{d}": g_in, f"rec_{d}": g_rec}
         return loss, g
 
-    def fit(self, samples: list[tuple[bytes, int]], epochs: int = EPOCHS, rate: float = 0.01, seed: int = 5) -> list[float]:
-        """Adam over batches of windows of one length; the mean loss of each pass."""
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 5) -> list[float]:
+        """Adam over batches of windows; the mean loss of each pass."""
         r = np.random.RandomState(seed)
-        by: dict[int, list[tuple[bytes, int]]] = {}
-        for s in samples:
-            by.setdefault(len(s[0]), []).append(s)
-        data = [(np.frombuffer(b"".join(s for s, _ in v), np.uint8).reshape(len(v), -1), np.array([y for _, y in v])) for _, v in sorted(by.items())]
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.w.items()}
         step, losses = 0, []
         for epoch in range(epochs):
-            batches = [(k, part) for k, (x, _) in enumerate(data) for part in np.array_split(r.permutation(len(x)), -(-len(x) // BATCH))]
+            batches = np.array_split(r.permutation(len(x)), -(-len(x) // BATCH)) if len(x) else []
             total = 0.0
-            for i in r.permutation(len(batches)):
-                k, part = batches[i]
-                loss, g = self.gradients(data[k][0][part], data[k][1][part])
+            for part in batches:
+                loss, g = self.gradients(x[part], y[part])
                 step, total = step + 1, total + loss
                 lr = rate * (1 - (epoch + 0.5) / (epochs + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for key, grad in g.items():
@@ -134,86 +133,74 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 class Labeller:
-    """Pools the positions of a whole text; remembers the sums of windows, which only depend on their bytes."""
+    """Labels every byte of whole texts and pools the positions of each."""
 
     def __init__(self, net: BiGru):
-        self.net, self.rows = net, {}
-        self.sums = np.zeros((0, len(net.langs)))
-
-    def _learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.rows]
-        if len(self.rows) + len(new) > REMEMBERED:
-            self.rows, self.sums, new = {}, self.sums[:0], list(dict.fromkeys(words))
-        by: dict[int, list[bytes]] = {}
-        for w in new:
-            by.setdefault(len(w), []).append(w)
-        parts = [self.sums]
-        at = len(self.sums)
-        for ws in by.values():
-            for i in range(0, len(ws), 4096):
-                part = ws[i : i + 4096]
-                x = np.frombuffer(b"".join(part), np.uint8).reshape(len(part), -1)
-                parts.append(self.net.positions(x).sum(0, dtype=np.float64))
-                self.rows.update(zip(part, range(at, at + len(part))))
-                at += len(part)
-        self.sums = np.concatenate(parts)
+        self.net = net
+
+    def sums(self, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """(windows, languages): log probabilities summed over the labelled bytes of each window."""
+        out = np.empty((len(x), len(self.net.langs)))
+        for at in range(0, len(x), TOGETHER):
+            part = inside[at : at + TOGETHER]
+            out[at : at + TOGETHER] = np.einsum("tbk,bt->bk", self.net.positions(x[at : at + TOGETHER], part), part[:, EDGE:-EDGE].astype(np.float32))
+        return out
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, probability): the normalised geometric mean over all positions; und without a letter."""
-        cut = [windows(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
-        totals = np.zeros((len(texts), len(self.net.langs)))
-        sizes = np.zeros(len(texts))
-        pending: list[tuple[int, list[bytes]]] = []
+        totals, sizes = np.zeros((len(texts), len(self.net.langs))), np.zeros(len(texts))
+        pending: list[tuple[int, np.ndarray, np.ndarray]] = []
         count = 0
 
         def flush() -> None:
-            self._learn([w for _, ws in pending for w in ws])
-            for i, ws in pending:
-                totals[i] += self.sums[np.fromiter(map(self.rows.__getitem__, ws), np.int64, len(ws))].sum(0)
-                sizes[i] += sum(map(len, ws))
-            pending.clear()
-
-        for i, ws in enumerate(cut):
-            for at in range(0, len(ws), _SLICE):
-                pending.append((i, ws[at : at + _SLICE]))
-                count += len(pending[-1][1])
-                if count >= _SLICE:
-                    flush()
-                    count = 0
+            if pending:
+                owner = np.concatenate([np.full(len(x), i) for i, x, _ in pending])
+                np.add.at(totals, owner, self.sums(*(np.concatenate([p[k] for p in pending]) for k in (1, 2))))
+                pending.clear()
+
+        for i, text in enumerate(texts):
+            if text and any(map(str.isalpha, text)):
+                x, sizes[i] = windows(text)
+                at = np.arange(0, len(x) * SPAN, SPAN)[:, None] + np.arange(-EDGE, SPAN + EDGE)
+                for k in range(0, len(x), 16 * TOGETHER):
+                    part = slice(k, k + 16 * TOGETHER)
+                    pending.append((i, x[part], (at[part] >= 0) & (at[part] < sizes[i])))
+                    count += len(pending[-1][1])
+                    if count >= 16 * TOGETHER:
+                        flush()
+                        count = 0
         flush()
         logp = _log_softmax(totals / np.maximum(sizes, 1)[:, None])
         best = logp.argmax(1)
         return [(self.net.langs[b], float(np.exp(lp[b]))) if n else ("und", 0.0) for b, lp, n in zip(best, logp, sizes)]
 
 
-def train(labelled: DataFrame, docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> BiGru:
+def train(labelled: DataFrame, docs: int = TRAIN_DOCS, each: int = TRAIN_WINDOWS) -> BiGru:
     """A network from (key, text, lang) rows with a language.
 
     At most about ``docs`` rows, shared out evenly over the languages by a
-    hash of the key, and ``chars`` characters of each, from a hashed place,
-    reach the driver. Rows without a language or a letter are no examples.
-    Without any example the only language is und.
+    hash of the row, and ``each`` windows of every one's text, from hashed
+    places, reach the driver. Rows without a language or a letter are no
+    examples. Without any example the only language is und.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return BiGru(["und"])
-    share = docs / len(counts)
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, share / n))).otherwise(rate)
-    unit = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    place = F.pmod(F.xxhash64("key", F.lit(2)), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
-    got = sorted(map(tuple, rows.filter(unit < rate).select("key", "lang", F.substring("text", place, F.lit(chars)).alias("text")).collect()))
-    langs = sorted(counts)
-    r = np.random.RandomState(11)
-    samples = []
-    for y, lang in enumerate(langs):
-        ws = [w for _, l, t in got if l == lang for w in windows(t)]
-        pick = r.permutation(len(ws))[:TRAIN_WINDOWS]
-        samples += [(ws[i], y) for i in pick]
+    share, langs = docs / len(counts), sorted(counts)
+    rates = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, share / n))))
+    # by key and text, so that the rows of one key aren't taken or left together
+    unit = F.pmod(F.xxhash64("key", "text", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    size = TRAIN_SPAN + 2 * EDGE
+    place = lambda k: F.pmod(F.xxhash64("key", "text", F.lit(2 + k)), F.greatest(F.length("text") - size, F.lit(1))).cast("int") + 1
+    parts = F.array(*(F.substring("text", place(k), F.lit(size)) for k in range(each)))
+    got = sorted(map(tuple, rows.filter(unit < rates[F.col("lang")]).select("key", "lang", F.explode(parts).alias("part")).collect()))
+    x = np.zeros((len(got), size), np.uint8)
+    for row, (_, _, part) in zip(x, got):
+        data = np.frombuffer(part.lower().encode()[:size], np.uint8)
+        row[:] = np.resize(data, size)  # a short text is read again and again
     net = BiGru(langs)
-    net.fit(samples)
+    net.fit(x, np.array([langs.index(lang) for _, lang, _ in got]))
     return net
 
 
