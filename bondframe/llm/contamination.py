@@ -77,14 +77,16 @@ class Index:
     searched for them in windows of twice that, each half a window after the
     last, so that an item's copy lies whole within a window and makes up a
     fifth of the union with it at least: all PERMS permutations then miss it
-    with a probability under 1e-4.
+    with a probability under 1e-4. Items of one shingle are looked up by
+    that shingle's hash, with no chance in it.
     """
 
     def __init__(self, items: list[tuple[int, str]], contained: float):
         self.contained, self.hashes = contained, _Hashes()
         self.items: list[tuple[int, int, np.ndarray, set]] = []
         self.parts: dict[tuple[int, int], tuple[np.ndarray, dict[int, list[int]]]] = {}
-        parts = defaultdict(list)
+        self.single: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
+        parts, single = defaultdict(list), defaultdict(lambda: defaultdict(list))
         for item, text in items:
             if words := words_of(text):
                 width = min(WIDTH, len(words))
@@ -92,7 +94,10 @@ class Index:
                 k = 0
                 while STEP << k < len(words) - width + 1:
                     k += 1
-                parts[width, k].append(len(self.items))
+                if len(h) == 1:
+                    single[width][int(h[0])].append(len(self.items))
+                else:
+                    parts[width, k].append(len(self.items))
                 self.items.append((item, width, h, {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}))
         for key, members in parts.items():
             # one sorted table for all permutations: a value that meets another permutation's only costs a verification
@@ -103,17 +108,24 @@ class Index:
                 for v in set(row.tolist()):
                     holders[v].append(m)
             self.parts[key] = (values, holders)
+        for width, holders in single.items():
+            self.single[width] = (np.sort(np.array(list(holders), np.uint64)), holders)
 
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, its shingles, those that the text holds) of the items found."""
         words = words_of(text)
         seen, out = {}, []
-        for width in {w for w, _ in self.parts}:
-            x = shingle_hashes(words, width, self.hashes)
+        for width in {w for w, _ in self.parts} | {*self.single}:
+            x, found = shingle_hashes(words, width, self.hashes), set()
             if not len(x):
                 continue
+            if width in self.single:
+                values, holders = self.single[width]
+                at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+                for v in {*x[values[at] == x].tolist()}:
+                    found.update(holders[v])
             sizes = sorted(k for w, k in self.parts if w == width)
-            base, found = minima(x, STEP << sizes[0]), set()
+            base = minima(x, STEP << sizes[0]) if sizes else None
             for k in sizes:
                 runs = np.minimum.reduceat(base, np.arange(0, len(base), 1 << k - sizes[0]), axis=0)
                 windows = np.minimum(runs[:-1], runs[1:]) if len(runs) > 1 else runs

@@ -112,6 +112,21 @@ def test_links_of_planted_fingerprints(spark):
     signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
     d = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
     got = find([(x.fp, x.peer) for x in simhash.fingerprint_links(d).collect()], signed.values())
+    want = find([(signed[a], signed[b]) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 2], signed.values())
+    assert got == want
+    for segments in (3, 4):
+        assert find([(x.fp, x.peer) for x in simhash.fingerprint_links(d, segments).collect()], signed.values()) == want
+
+
+def test_links_of_hot_segments(spark):
+    """Far more fingerprints than BUCKET share a segment's value; links to others stay."""
+    r = random.Random(3)
+    high, low = r.getrandbits(32) << 32, r.getrandbits(32)
+    fps = {high | r.getrandbits(32) for _ in range(150)} | {r.getrandbits(32) << 32 | low for _ in range(100)}
+    for f in list(fps)[::2]:
+        fps |= {f ^ sum(1 << b for b in r.sample(range(64), k)) for k in (1, 2, 3)}
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    got = find([(x.fp, x.peer) for x in simhash.fingerprint_links(spark.createDataFrame([(s,) for s in signed.values()], "fp long")).collect()], signed.values())
     assert got == find([(signed[a], signed[b]) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 2], signed.values())
 
 
@@ -403,6 +418,12 @@ def test_secrets(spark, odd):
     kinds = {i: [s.kind for s in rows[i].spans if s.kind > 2] for i in rows}
     assert kinds[4] == [3, 4, 5] and kinds[5] == [] == kinds[6] == kinds[7] and kinds[8] == [4, 5]
     assert rows[4].l.startswith("ident:3:22,secret:")
+    # whatever the place in the text, parts link by the distance of their starts
+    for lead in (0, 1, 300, 511, 512, 700):
+        for apart, linked in ((30, True), (510, True), (512, True), (513, False), (1000, False)):
+            t = "." * lead + other + "." * (apart - len(other)) + strong
+            got = secrets.scan_secrets(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+            assert [tuple(s) for s in got.spans] == ([(lead, 3, lead + len(other)), (lead + apart, 4, lead + apart + len(strong))] if linked else []), (lead, apart)
     got = secrets.scan_secrets(odd)
     assert ids(got) == ALL_IDS and got.filter("size(spans) > 0").isEmpty() and secrets.scan_secrets(odd.limit(0)).count() == 0
 
@@ -424,7 +445,7 @@ def test_embeddings(spark):
     got = collections.Counter((r.vec_id, r.n_links, r.component_id) for r in rows if r.vec_id in group)
     assert sum((want & got).values()) >= 0.99 * len(data) and len(rows) == d.count()
     assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in rows if r.vec_id not in group)
-    assert embeddings.dedup_embeddings(d.limit(0)).count() == 0
+    assert embeddings.dedup_embeddings(d.limit(0)).count() == 0 and {r.recall >= 0.99 for r in rows} == {True}
 
 
 def test_recall_of_the_graphs():
@@ -432,10 +453,18 @@ def test_recall_of_the_graphs():
     x = r.normal(size=(1500, 32))
     x[:400] = x[0] + 0.15 * r.normal(size=(400, 32))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    found, recall, _ = embeddings.block_links(embeddings.Graph(x.astype(np.float32)), x, 0.93)
+    found, met, looked = embeddings.block_links(embeddings.Graph(x.astype(np.float32)), x, 0.93)
     truth = x @ x.T >= 0.93
     hits = sum(int(truth[i, h].sum()) for i, h in found)
-    assert recall >= 0.99 and hits >= 0.98 * truth.sum()
+    assert looked >= 64 and met >= 0.99 * looked and hits >= 0.98 * truth.sum()
+
+
+def test_spanning_edges():
+    r = np.random.RandomState(4)
+    hit = r.rand(60, 60) < 0.02
+    hit |= hit.T
+    np.fill_diagonal(hit, False)
+    assert find(embeddings.spanning(hit), range(60)) == find([*zip(*np.nonzero(hit))], range(60))
 
 
 # 8
@@ -468,7 +497,15 @@ def test_language_id(spark, odd):
     assert ids(rows) == ALL_IDS and {x.lang_pred for x in rows.filter("doc_id IN (2, 3)").collect()} == {"und"}
     assert langid.train(odd.limit(0).select(F.col("doc_id").alias("key"), "text", "lang")).langs == ["und"]
     assert langid.predict(odd.limit(0), net).count() == 0
-    assert all(b"".join(langid.windows(t)) == b"".join(t.lower().encode().split()) for t in ("a bc", "x" * 50, "é" * 40 + " y"))
+    for t in ("", "a bc", "x" * 240, "x" * 241, "é" * 900 + " y"):
+        x, n = langid.windows(t)
+        assert n == len(t.encode()) and x[:, langid.EDGE : -langid.EDGE].tobytes()[:n] == t.encode() and not any(x[:, langid.EDGE : -langid.EDGE].tobytes()[n:])
+    # a long text's positions are those of one run over the whole text, but for the windows' edges
+    text = docs.filter("length(text) BETWEEN 600 AND 900 AND lang = 'en'").first().text
+    whole = np.frombuffer(text.lower().encode(), np.uint8)[None]
+    every = net.positions(np.pad(whole, ((0, 0), (langid.EDGE, langid.EDGE))), np.pad(np.ones_like(whole, bool), ((0, 0), (langid.EDGE, langid.EDGE))))[:, 0].mean(0)
+    got = langid.Labeller(net).label([text])[0]
+    assert got[0] == net.langs[int(every.argmax())] and got[1] == pytest.approx(float(np.exp(langid._log_softmax(every).max())), abs=0.05)
 
 
 # 9
