@@ -13,14 +13,14 @@ from ..ship import map_arrow
 from .common import docs_only
 
 #: Bytes that a window labels, and bytes of the text to either side that the network reads before them.
-SPAN, EDGE = 240, 16
+SPAN, EDGE = 480, 16
 HIDDEN = 12
 #: Labelled documents that training uses at most (about), and windows of each, from hashed places of the whole text.
 TRAIN_DOCS, TRAIN_WINDOWS = 3000, 2
 #: Bytes that a training window labels, passes over the windows and windows of a batch.
 TRAIN_SPAN, EPOCHS, BATCH = 64, 6, 64
 #: Windows that are labelled together.
-TOGETHER = 512
+TOGETHER = 1024
 
 
 def windows(text: str, span: int = SPAN) -> tuple[np.ndarray, int]:
@@ -51,20 +51,45 @@ class BiGru:
             self.w |= {f"in_{d}": r.normal(0, 0.5, (256, 3 * hidden)), f"rec_{d}": r.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden))}
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def _pass(self, x: np.ndarray, d: str, keep: list | None = None, inside: np.ndarray | None = None) -> np.ndarray:
-        """States (steps, windows, hidden) of one direction over bytes (windows, steps); zero where not ``inside``."""
+    def _pass(self, x: np.ndarray, d: str, keep: list) -> np.ndarray:
+        """States (steps, windows, hidden) of one direction over bytes (windows, steps); ``keep`` gets what the way back needs."""
         h, w, rec = self.hidden, self.w[f"in_{d}"], self.w[f"rec_{d}"]
         state = np.zeros((len(x), h), np.float32)
         out = np.empty((x.shape[1], len(x), h), np.float32)
-        partly = np.zeros(x.shape[1], bool) if inside is None else ~inside.all(0)
         for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
             a, b = w[x[:, t]], state @ rec
             zr = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
             c = np.tanh(a[:, 2 * h :] + r * b[:, 2 * h :])
-            if keep is not None:
-                keep.append((t, state, z, r, c, b[:, 2 * h :]))
-            state = c + z * (state - c)
+            keep.append((t, state, z, r, c, b[:, 2 * h :]))
+            state = out[t] = c + z * (state - c)
+        return out
+
+    def _states(self, x: np.ndarray, d: str, inside: np.ndarray | None) -> np.ndarray:
+        """As ``_pass``, in place and without what only training needs; states are zero where not ``inside``."""
+        h, dtype, (n, steps) = self.hidden, self.w["out"].dtype, x.shape
+        # gates apart, for arrays in one piece are far faster; the sigmoid is 0.5 * tanh(0.5 x) + 0.5, so its inner factor goes into the weights
+        gates = [[np.ascontiguousarray(self.w[f"{k}_{d}"][:, g * h : (g + 1) * h] * f).astype(dtype, copy=False) for k in ("in", "rec")] for g, f in ((0, 0.5), (1, 0.5), (2, 1))]
+        by_step, partly = np.ascontiguousarray(x.T, np.intp), np.zeros(steps, bool) if inside is None else ~inside.all(0)
+        out = np.empty((steps, n, h), dtype)
+        state, z, r, c, back = np.zeros((n, h), dtype), *(np.empty((n, h), dtype) for _ in range(4))
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            for gate, (w, rec) in zip((z, r), gates):
+                np.take(w, by_step[t], axis=0, out=gate, mode="clip")
+                np.dot(state, rec, out=back)
+                gate += back
+                np.tanh(gate, out=gate)
+                gate *= 0.5
+                gate += 0.5
+            w, rec = gates[2]
+            np.take(w, by_step[t], axis=0, out=c, mode="clip")
+            np.dot(state, rec, out=back)
+            back *= r
+            c += back
+            np.tanh(c, out=c)
+            state -= c
+            state *= z
+            state += c
             if partly[t]:
                 state *= inside[:, t, None]
             out[t] = state
@@ -72,8 +97,14 @@ class BiGru:
 
     def positions(self, x: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
         """Log probabilities (steps, windows, languages) at every byte but the EDGE on either side."""
-        s = np.concatenate([self._pass(x, d, inside=inside)[EDGE:-EDGE] for d in "fb"], 2)
-        return _log_softmax(s @ self.w["out"] + self.w["bias"])
+        h = self.hidden
+        states = [self._states(x, d, inside)[EDGE:-EDGE] for d in "fb"]
+        steps, n, _ = states[0].shape
+        # languages first: sums over the few languages are then sums of long rows
+        logits = sum((s.reshape(-1, h) @ self.w["out"][i * h : (i + 1) * h]).T for i, s in enumerate(states)) + self.w["bias"][:, None]
+        logits -= logits.max(0)
+        logits -= np.log(np.exp(logits).sum(0))
+        return logits.T.reshape(steps, n, -1)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy over all positions and its gradients, by backpropagation through time."""
@@ -140,10 +171,12 @@ class Labeller:
 
     def sums(self, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """(windows, languages): log probabilities summed over the labelled bytes of each window."""
-        out = np.empty((len(x), len(self.net.langs)))
-        for at in range(0, len(x), TOGETHER):
-            part = inside[at : at + TOGETHER]
-            out[at : at + TOGETHER] = np.einsum("tbk,bt->bk", self.net.positions(x[at : at + TOGETHER], part), part[:, EDGE:-EDGE].astype(np.float32))
+        out, sizes = np.empty((len(x), len(self.net.langs))), inside[:, EDGE:-EDGE].sum(1)
+        order = np.argsort(sizes, kind="stable")  # short windows together, in as few steps as they need
+        for part in np.array_split(order, -(-len(x) // TOGETHER)):
+            steps = int(sizes[part].max()) + 2 * EDGE
+            within = inside[part, :steps]
+            out[part] = np.einsum("tbk,bt->bk", self.net.positions(x[part, :steps], within), within[:, EDGE:-EDGE].astype(np.float32))
         return out
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -162,11 +195,11 @@ class Labeller:
             if text and any(map(str.isalpha, text)):
                 x, sizes[i] = windows(text)
                 at = np.arange(0, len(x) * SPAN, SPAN)[:, None] + np.arange(-EDGE, SPAN + EDGE)
-                for k in range(0, len(x), 16 * TOGETHER):
-                    part = slice(k, k + 16 * TOGETHER)
+                for k in range(0, len(x), 8 * TOGETHER):
+                    part = slice(k, k + 8 * TOGETHER)
                     pending.append((i, x[part], (at[part] >= 0) & (at[part] < sizes[i])))
                     count += len(pending[-1][1])
-                    if count >= 16 * TOGETHER:
+                    if count >= 8 * TOGETHER:
                         flush()
                         count = 0
         flush()

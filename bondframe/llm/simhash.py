@@ -108,7 +108,8 @@ def fingerprint_links(fps: DataFrame, segments: int = 2) -> DataFrame:
     flips = [0, *(_signed(1 << i) for i in range(64))]
     whole = many.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(f)) for f in flips))).alias("entry"))
     met = cut(whole.groupBy("entry").agg(F.min("fp").alias("peer"), F.count("*").alias("n")).filter("n > 1").select("entry", "peer"), "simhash-met")
-    return links.union(whole.join(met, "entry").filter((F.col("fp") != F.col("peer")) & near).select("fp", "peer")).distinct()
+    links = links.union(whole.join(met, "entry").filter((F.col("fp") != F.col("peer")) & near).select("fp", "peer"))
+    return cut(links.distinct(), "simhash-links")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:
