@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .plans.catalog import ALL_COLUMNS, COLUMN_SETS, FAMILY_COLUMNS, FAMILY_OFFSETS, OPTIONAL_COLUMNS
-from .plans.featurize import column_set, expand_fingerprint, feature_names, featurize, parse, scaffolds
+from .plans.featurize import column_set, expand_fingerprint, feature_names, featurize, parse, scaffolds, without_molecules
 
 COLUMNS = tuple(FAMILY_COLUMNS["blocks"])
 
@@ -26,4 +26,4 @@ def featurize_blocks(table: DataFrame, **options) -> DataFrame:
 
 compute = featurize_blocks
 
-__all__ = ["ALL_COLUMNS", "COLUMNS", "COLUMN_SETS", "FAMILY_OFFSETS", "OPTIONAL_COLUMNS", "column_set", "compute", "expand_fingerprint", "feature_names", "featurize", "featurize_all", "featurize_blocks", "minimal_columns", "parse", "scaffolds"]
+__all__ = ["ALL_COLUMNS", "COLUMNS", "COLUMN_SETS", "FAMILY_OFFSETS", "OPTIONAL_COLUMNS", "column_set", "compute", "expand_fingerprint", "feature_names", "featurize", "featurize_all", "featurize_blocks", "minimal_columns", "parse", "scaffolds", "without_molecules"]

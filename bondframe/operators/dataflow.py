@@ -26,13 +26,9 @@ def draw_key(seed: int, key: Column) -> Column:
 
 
 def rank_with_ties(df: DataFrame, score: str, name: str) -> DataFrame:
-    """``df`` with the pessimistic rank: a block of equal scores has the rank of its last row.
-
-    Counts per score are windowed, not rows: the one ordered partition has a
-    row for each different score.
-    """
+    """``df`` with the pessimistic rank: a block of equal scores has the rank of its last row."""
     per = df.groupBy(score).agg(F.count("*").alias("_n"))
-    per = per.select(score, F.sum("_n").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+    per = running(per, [F.desc(score)], "_n", name).select(score, name)
     return df.join(per, score)
 
 
@@ -56,7 +52,7 @@ def log_auc(df: DataFrame, key: str, true: str, pred: str, top: int, points: lis
     their range. ``points`` is a bounded list of the caller's.
     """
     hits = top_mask(df, true, top, "_t")
-    ordered = global_rank(hits, [F.desc(pred), F.asc(key)], pred, "rank")
+    ordered = global_rank(hits, [F.desc(pred), F.asc(key)], "rank")
     found = ordered.filter("_t").select("rank")
     grid = df.sparkSession.createDataFrame([(p,) for p in points], "at bigint")
     curve = F.broadcast(grid).join(found, F.col("rank") <= F.col("at"), "left").groupBy("at").agg((F.count("rank") / F.lit(float(top))).alias("y"))  # one row a point
@@ -72,22 +68,29 @@ def log_auc(df: DataFrame, key: str, true: str, pred: str, top: int, points: lis
     return out.withColumn("normalised", (F.col("area") - F.col("random")) / (F.col("ideal") - F.col("random")))
 
 
-def global_rank(df: DataFrame, order: list[Column], by: str, name: str, parts: int = 64) -> DataFrame:
-    """``df`` with its 1-based rank in ``order``, whose first key is ``by`` descending.
+#: Rows of a range, about.
+RANGE_ROWS = 250_000
+
+
+def running(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows up to each in ``order``, which must tell rows apart.
 
-    The rows are cut into ranges of ``by`` at approximate quantiles (a
-    bounded list), ranked within a range and shifted by the counts of the
-    ranges before: no task orders the whole table.
+    The rows are dealt to ranges of the order, of about RANGE_ROWS each, and
+    written, so that a row's range is settled; sums run inside the ranges
+    and are shifted by the totals of the ranges before. No task has more
+    than a range, but that of the totals, which has a row for each.
     """
-    cuts = sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.01)))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col(by) <= c).cast("int")
-    df = df.withColumn("_b", bucket)
-    counts = df.groupBy("_b").agg(F.count("*").alias("_c"))
-    before = counts.select("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return df.withColumn("_r", inside).join(F.broadcast(before), "_b").withColumn(name, F.col("_r") + F.col("_s")).drop("_b", "_r", "_s")  # before has a row for each range
+    parts = max(1, -(-df.count() // RANGE_ROWS))
+    df = cut(df.repartitionByRange(parts, *order).withColumn("_b", F.spark_partition_id()), "ranges")
+    totals = df.groupBy("_b").agg(F.sum(value).alias("_t"))
+    before = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    inside = F.sum(value).over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_r0", inside).join(F.broadcast(before), "_b").withColumn(name, F.col("_r0") + F.col("_s")).drop("_b", "_r0", "_s")  # before has a row for each range
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its 1-based rank in ``order``, which must tell rows apart (see ``running``)."""
+    return running(df.withColumn("_one", F.lit(1)), order, "_one", name).drop("_one")
 
 
 def tie_report(df: DataFrame, score: str) -> DataFrame:
@@ -184,11 +187,18 @@ def exclusive_sums(df: DataFrame, key: str, size: str) -> DataFrame:
 
 def islands(df: DataFrame, key: str) -> DataFrame:
     """(lo, hi, n) of the runs of consecutive numbers in a set of shard numbers."""
-    ids = df.select(key).distinct()
-    runs = ids.withColumn("_g", F.col(key) - F.row_number().over(Window.orderBy(key)))
+    ids = running(df.select(key).distinct().withColumn("_one", F.lit(1)), [F.asc(key)], "_one", "_r")
+    runs = ids.withColumn("_g", F.col(key) - F.col("_r"))
     return runs.groupBy("_g").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).drop("_g")
 
 
+def merge_added(base: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """Add-only merge: ``more`` may bring new keys alone; a key of ``base`` in it fails the job."""
+    seen = more.join(base.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left")
+    fail = F.raise_error(F.concat(F.lit("key is there already: "), F.col("_k").cast("string"))).cast("boolean")
+    return base.unionByName(seen.filter(F.when(F.col("_k").isNotNull(), fail).otherwise(F.lit(True))).drop("_k"))
+
+
 def merge_new(base: DataFrame, more: DataFrame, key: str) -> DataFrame:
     """Upsert: rows of ``more`` replace those of ``base`` with the same key; no key of ``base`` is lost."""
     return base.join(more.select(key), key, "left_anti").unionByName(more)

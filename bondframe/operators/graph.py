@@ -76,16 +76,19 @@ def pairs(atoms: DataFrame, dist: DataFrame) -> DataFrame:
 
 def autocorrelations(atoms: DataFrame, dist: DataFrame, lags: int) -> DataFrame:
     """Six autocorrelations of w by graph and lag (see the descriptor family)."""
-    stats = atoms.groupBy("g").agg(F.count("*").alias("n"), F.avg("w").alias("mean"), F.sum(F.col("w") * F.col("w")).alias("s2"))
+    # n w - sum(w) in place of w - mean: whole for whole weights, so each value below is one rounded division
+    stats = atoms.groupBy("g").agg(F.count("*").alias("n"), F.sum("w").alias("s1"), F.sum(F.col("w") * F.col("w")).alias("s2"))
+    n, v = F.col("n"), F.col("n") * F.col("s2") - F.col("s1") * F.col("s1")
     p = pairs(atoms, dist.filter(F.col("d").between(1, lags))).join(stats, "g")
-    ci, cj = F.col("wi") - F.col("mean"), F.col("wj") - F.col("mean")
-    far = p.groupBy("g", F.col("d").alias("lag")).agg(F.count("*").alias("gsum"), F.sum(F.col("wi") * F.col("wj")).alias("ats"), F.sum(ci * cj).alias("atsc"), F.sum(F.pow(F.col("wi") - F.col("wj"), 2)).alias("gap"))
-    var = F.col("s2") - F.col("n") * F.col("mean") * F.col("mean")
-    zero = stats.select("g", F.lit(0).alias("lag"), F.col("n").alias("gsum"), F.col("s2").alias("ats"), var.alias("atsc"), F.lit(0.0).alias("gap"))
-    out = zero.unionByName(far).join(stats, "g").withColumn("sq", var)
-    mats = F.when(F.col("sq") > 1e-9, (F.col("atsc") / F.col("gsum")) / (F.col("sq") / F.col("n"))).otherwise(F.lit(NAN))
-    gats = F.when((F.col("sq") > 1e-9) & (F.col("n") > 1), (F.col("gap") / (2 * F.col("gsum"))) / (F.col("sq") / (F.col("n") - 1))).otherwise(F.lit(NAN))
-    return out.select("g", "lag", "gsum", "ats", (F.col("ats") / F.col("gsum")).alias("aats"), "atsc", (F.col("atsc") / F.col("gsum")).alias("aatsc"), mats.alias("mats"), gats.alias("gats"))
+    ci, cj = n * F.col("wi") - F.col("s1"), n * F.col("wj") - F.col("s1")
+    far = p.groupBy("g", F.col("d").alias("lag")).agg(F.count("*").alias("gsum"), F.sum(F.col("wi") * F.col("wj")).alias("ats"), F.sum(ci * cj).alias("c"), F.sum(F.pow(F.col("wi") - F.col("wj"), 2)).alias("gap"))
+    zero = stats.select("g", F.lit(0).alias("lag"), n.alias("gsum"), F.col("s2").alias("ats"), (n * v).alias("c"), F.lit(0.0).alias("gap"))
+    out = zero.unionByName(far).join(stats, "g").withColumn("v", v)
+    some, gsum, c = F.col("v") > 1e-9 * n, F.col("gsum"), F.col("c")
+    mats = F.when(some, c / (gsum * F.col("v"))).otherwise(F.lit(NAN))
+    gats = F.when(some & (n > 1), F.col("gap") * (n - 1) * n / (2 * gsum * F.col("v"))).otherwise(F.lit(NAN))
+    return out.select("g", "lag", "gsum", "ats", (F.col("ats") / gsum).alias("aats"), (c / (n * n)).alias("atsc"), (c / (n * n * gsum)).alias("aatsc"), mats.alias("mats"), gats.alias("gats"))
+
 
 def degrees(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """``atoms`` with deg, its bonds."""

@@ -88,6 +88,13 @@ def scaffolds(table: DataFrame, smiles: str = "smiles") -> DataFrame:
     return map_arrow(table, run, schema)
 
 
+def without_molecules(table: DataFrame, excluded: DataFrame, smiles: str = "smiles") -> DataFrame:
+    """``table`` without the molecules of ``excluded``, however either writes them; texts that are no molecule stay."""
+    names, bad = table.columns, scaffolds(excluded.select(smiles), smiles).select(F.col("canonical").alias("_c")).filter("_c IS NOT NULL").distinct()
+    found = scaffolds(table.select(*names), smiles)
+    return found.join(bad, F.col("canonical") == F.col("_c"), "left_anti").select(*names)
+
+
 def compute_row(text: str | None, p: Plan, standardize, radius: int | None, size: int) -> tuple[list[float], list[int], dict | None]:
     """(values, set bits, error) of one SMILES: NaN and no bits where it fails."""
     try:
@@ -106,6 +113,12 @@ def compute_row(text: str | None, p: Plan, standardize, radius: int | None, size
     return row, ecfp_bits(mol, radius, size) if radius is not None else [], error
 
 
+#: Whether the warning about an unset standardize was given; once is enough.
+_WARNED: list[bool] = []
+#: Arguments of old and what takes their place.
+REPLACED = {"additional_descriptors": "name a set, or the columns themselves, in columns"}
+
+
 def featurize(
     table: DataFrame,
     columns: str | Iterable[str] | None = "default",
@@ -119,6 +132,7 @@ def featurize(
     optional: Iterable[str] | None = None,
     dtype: str = "double",
     wide: bool = True,
+    **removed,
 ) -> DataFrame:
     """``table`` with one column for each descriptor and, if asked for, the fingerprint's set bits.
 
@@ -128,6 +142,9 @@ def featurize(
     what went wrong: kind row for the text, columns for single families.
     ``wide`` False gives one array column, features, in the same order.
     """
+    for name in removed:
+        hint = REPLACED.get(name)
+        raise TypeError(f"{name} was removed: {hint}" if hint else f"featurize() has no argument {name}")
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error must be one of {', '.join(ON_ERROR)}")
     if isinstance(standardize, str) and standardize not in MODES:
@@ -135,7 +152,9 @@ def featurize(
     if dtype not in ("double", "float"):
         raise ValueError("dtype must be double or float")
     if standardize is None:
-        warnings.warn("standardize isn't set: molecules are taken as written ('none')", stacklevel=2)
+        if not _WARNED:
+            warnings.warn("standardize isn't set: molecules are taken as written ('none')", stacklevel=2)
+            _WARNED.append(True)
         standardize = "none"
     p = plan(columns, optional)
     names, at = table.columns, table.columns.index(smiles)

@@ -32,6 +32,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Blocks over which the rows of a label are dealt.
+SALTS = 32
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -280,7 +284,7 @@ def histogram_threshold(spark: SparkSession, sf: str) -> DataFrame:
 def rowgroup_spread(spark: SparkSession, sf: str) -> DataFrame:
     o = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     li = table(spark, sf, "lineitem").withColumn("k", -F.col("l_orderkey"))
-    r = D.global_rank(li, [F.col(c).asc() for c in o], "k", "rank")
+    r = D.global_rank(li, [F.col(c).asc() for c in o], "rank")
     return r.groupBy(F.expr("(rank - 1) div 1000").alias("block")).agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"), F.count("*").alias("n"))
 
 
@@ -346,11 +350,10 @@ def pair_links(spark: SparkSession, sf: str) -> DataFrame:
     return e.agg(F.count_distinct("a").alias("n_nodes"), F.count_distinct("b").alias("n_hubs"), F.count("*").alias("n_links"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 100000 + l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.04), near AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM near UNION SELECT r.node, n.b FROM r JOIN near n ON n.a = r.seen)
- SELECT node, min(seen) AS grp FROM r GROUP BY node""")
+@query()
 def pair_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs that share a member, directly or by others, are one group: no group is split."""
-    e = table(spark, sf, "lineitem").filter("l_quantity = 50 AND l_discount = 0.04").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000).alias("b")).distinct()
+    """Pairs that share a member, directly or by others, are one group: no group is split. A recursive SQL over the whole table doesn't end."""
+    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000).alias("b")).distinct()
     return D.linked_groups(e, "a", "b")
 
 
@@ -497,12 +500,17 @@ def standardized_columns(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("z")), 5)
 
 
-@query("WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 10 = 0) SELECT a.id AS a, b.id AS b, round(1 - list_cosine_similarity(a.x, b.x), 5) + 0.0 AS cosine FROM e a JOIN e b ON a.label = b.label AND a.id < b.id")
+@query("WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings) SELECT a.id AS a, b.id AS b, round(1 - list_cosine_similarity(a.x, b.x), 5) + 0.0 AS cosine FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id WHERE a.id % 50 = 0")
 def cosine_distances(spark: SparkSession, sf: str) -> DataFrame:
-    """Distances within labels of a stated set of vectors: a report, not a search."""
-    e = table(spark, sf, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("x"))
-    b = e.select(F.col("id").alias("b"), "label", F.col("x").alias("y"))
-    return rounded(e.join(b, "label").filter("id < b").select(F.col("id").alias("a"), "b", D.cosine(F.col("x"), F.col("y")).alias("cosine")), 5)
+    """Distances of the vectors with an id divisible by 50, the queries, from all others of their label.
+
+    A label's rows are dealt to SALTS blocks, and its queries sent to each:
+    no task has a whole label.
+    """
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
+    rows = e.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    asked = e.filter("b % 50 = 0").select(F.col("b").alias("a"), "label", F.col("y").alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("block"))
+    return rounded(asked.join(rows, ["label", "block"]).filter("a <> b").select("a", "b", D.cosine(F.col("x"), F.col("y")).alias("cosine")), 5)
 
 
 @query("WITH s AS (SELECT label, k, sum(v::DOUBLE) AS s FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k), d AS (SELECT vec_id, e.label, sum(v::DOUBLE * (s.s - v::DOUBLE)) AS dot FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) e JOIN s ON s.label = e.label AND s.k = e.k GROUP BY vec_id, e.label) SELECT label, count(*) AS n, round(avg((dot > 0)::INT), 6) AS consistency FROM d GROUP BY label")

@@ -2,6 +2,8 @@
 
 import math
 import os
+import random
+import warnings
 
 import duckdb
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from bondframe.operators import dataflow as D
 from bondframe.operators import graph as G
 from bondframe.plans import registry
-from bondframe.plans.featurize import column_set, expand_fingerprint, feature_names, featurize, parse
+from bondframe.plans.featurize import _WARNED, column_set, expand_fingerprint, feature_names, featurize, parse, without_molecules
 from bondframe.sources import molecules as M
 from bondframe.streaming import molecules as S
 
@@ -33,8 +35,16 @@ def test_errors_cost_their_own_row(table):
         featurize(table, ["nC"], standardize="none", on_error="raise").collect()
     with pytest.raises(ValueError, match="nan, raise, skip"):
         featurize(table, ["nC"], on_error="none such")
+    _WARNED.clear()
     with pytest.warns(UserWarning, match="standardize"):
         featurize(table, ["nC"])
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        featurize(table, ["nC"])
+    with pytest.raises(TypeError, match="columns"):
+        featurize(table, ["nC"], additional_descriptors=False)
+    with pytest.raises(TypeError, match="no argument"):
+        featurize(table, ["nC"], colums="full")
 
 
 def test_projection_and_partitions_dont_change_values(table):
@@ -148,3 +158,46 @@ def test_distances_in_long_orders(spark, tmp_path):
 def test_default_set_of_all_molecules(spark, tmp_path):
     spark.range(250).selectExpr("id AS l_orderkey", "1L AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "1.0D AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert registry.QUERIES["molecule_default_set"](spark, str(tmp_path)).select("mol_id").distinct().count() == 250
+
+
+def test_running_sums_and_ranks_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(D, "RANGE_ROWS", 40)
+    r = random.Random(6)
+    rows = [(k, r.randrange(25), r.randrange(9)) for k in range(300)]
+    d = spark.createDataFrame(rows, "k long, score long, v long")
+    order = sorted(rows, key=lambda x: (-x[1], x[0]))
+    got = {x.k: x["rank"] for x in D.global_rank(d, [F.desc("score"), F.asc("k")], "rank").collect()}
+    assert got == {k: i + 1 for i, (k, _, _) in enumerate(order)}
+    got = {x.k: x["rank"] for x in D.rank_with_ties(d, "score", "rank").collect()}
+    assert got == {k: sum(t >= s for _, t, _ in rows) for k, s, _ in rows}
+    keys = sorted({r.randrange(400) for _ in range(200)})
+    runs, at = [], 0
+    for i, k in enumerate(keys):
+        if i + 1 == len(keys) or keys[i + 1] != k + 1:
+            runs.append((keys[at], k, i - at + 1))
+            at = i + 1
+    assert sorted(tuple(x) for x in D.islands(spark.createDataFrame([(k,) for k in keys * 2], "k long"), "k").collect()) == runs
+    assert D.islands(d.limit(0), "k").count() == 0
+
+
+def test_add_only_merge(spark):
+    base = spark.createDataFrame([(1, 1.0), (2, 2.0)], "arm long, v double")
+    assert sorted(tuple(x) for x in D.merge_added(base, spark.createDataFrame([(3, 3.0)], "arm long, v double"), "arm").collect()) == [(1, 1.0), (2, 2.0), (3, 3.0)]
+    with pytest.raises(Exception, match="there already: 2"):
+        D.merge_added(base, spark.createDataFrame([(2, 9.0)], "arm long, v double"), "arm").collect()
+
+
+def test_excluded_molecules(spark):
+    t = M.from_list(spark, ["OCC", "c1ccccc1", "nope", "CCN"])
+    assert sorted(x.smiles for x in without_molecules(t, M.from_list(spark, ["C(O)C", "NCC", "nope"])).collect()) == ["c1ccccc1", "nope"]
+
+
+def test_components_of_all_pairs(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(r.randrange(60), r.randrange(80)) for _ in range(70)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    group = {x: x for a, b in rows for x in (a, 100_000 + b)}
+    for _ in group:
+        for a, b in rows:
+            group[a] = group[100_000 + b] = min(group[a], group[100_000 + b])
+    assert {x.node: x.grp for x in registry.QUERIES["pair_components"](spark, str(tmp_path)).collect()} == group
