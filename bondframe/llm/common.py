@@ -92,18 +92,19 @@ def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
-def decided_links(two: DataFrame, many: DataFrame, prove: Callable[[DataFrame], DataFrame], name: str, ratio: float) -> DataFrame:
+def decided_links(two: DataFrame, many: DataFrame, prove: Callable[[DataFrame], DataFrame], name: str, ratio: float, measures: tuple[str, ...] = ("{}",)) -> DataFrame:
     """Links (a, b) that connect what the similar pairs of ``shared_entries`` connect.
 
-    ``prove`` keeps the similar ones of some pairs; none is similar whose
-    sizes differ by more than ``ratio``, and such pairs aren't made. Every
-    other pair of an entry is proved unless its ends are connected by then,
+    ``prove`` keeps the similar ones of some pairs; none is similar if by all
+    ``measures`` (SQL of a size) its sizes differ by more than ``ratio``, and
+    such pairs aren't made. Every other pair of an entry is proved unless its ends are connected by then,
     so none is lost. Members of a large entry are first compared with its
     smallest, one head after another, which uses up a group of copies in
     linear work; after HEADS rounds all pairs of different components are
     spelled out.
     """
-    fit = f"least(sa, sb) >= greatest(sa, sb) * {ratio!r}D"
+    measured = [[m.format(x) for x in ("sa", "sb")] for m in measures]
+    fit = "(" + " OR ".join(f"least({a}, {b}) >= greatest({a}, {b}) * {ratio!r}D - 1e-6D" for a, b in measured) + ")"
     few, big = many.filter(F.col("n") <= SMALL).drop("n"), many.filter(F.col("n") > SMALL).drop("n")
     as_ = lambda t, z: t.select("entry", F.col("h1").alias(z), F.col("size").alias(f"s{z}"))
     heads = big.groupBy("entry").agg(F.min(F.struct("h1", "size")).alias("m")).select("entry", "m.*")

@@ -373,6 +373,16 @@ def test_lines_of_one_form(spark):
     assert gone == {2 * k + 1 for k in range(30)}
 
 
+@pytest.mark.parametrize("copies", [1, 5])
+def test_lines_alike_by_words_of_unlike_lengths(spark, copies):
+    """Two of fourteen words are much longer: alike by words whatever the copies of either, though not in length."""
+    words = [f"w{i:02d}ab" for i in range(14)]
+    other = ["x" * 45, *words[1:-1], "y" * 45]
+    rows = [(i, " ".join(words)) for i in range(copies)] + [(100 + i, " ".join(other)) for i in range(copies)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in got if r.n_removed == 0] == [0]
+
+
 def test_line_normal_form(spark):
     rows = [(1, "Some words, here: (and) there\n---\n}\n\u2014\u2014"), (2, "some\twords here\u00a0and there!\n---\n}\n\u2014\u2014"), (3, "a,b;" * 500)]
     out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
