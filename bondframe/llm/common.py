@@ -139,6 +139,18 @@ def decided_links(two: DataFrame, many: DataFrame, prove: Callable[[DataFrame],
     return links
 
 
+def possible_pairs(pairs: DataFrame, marks: DataFrame, lanes: int, most: str) -> DataFrame:
+    """The pairs (a, b) whose marks (h1, size, m0, m1, ..) differ in ``most`` bits (SQL of sa, sb) at most.
+
+    A narrow join before texts are fetched; the caller's ``most`` holds for
+    every similar pair, so none is lost.
+    """
+    marks = small(marks)
+    for z in "ab":
+        pairs = pairs.join(marks.select(F.col("h1").alias(z), F.col("size").alias(f"s{z}"), *(F.col(f"m{i}").alias(f"m{i}{z}") for i in range(lanes))), z)
+    return pairs.filter(" + ".join(f"bit_count(m{i}a ^ m{i}b)" for i in range(lanes)) + f" <= {most}").select("a", "b")
+
+
 def docs_only(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns alone, cast: extra or clashing columns cannot interfere."""
     return df.select(*(F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()))

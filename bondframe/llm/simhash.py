@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..ship import map_arrow
 from ..lineage import cut, scratch
-from .common import components, decided_links, docs_only, shared_entries, small
+from .common import components, decided_links, docs_only, possible_pairs, shared_entries, small
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -185,6 +185,16 @@ def band_keys(x: np.ndarray) -> list[int] | None:
     return (out * _MIX[ROWS]).view(np.int64).tolist()
 
 
+#: 64-bit lanes of the marks of a shingle set.
+LANES = 8
+
+
+def parities(x: np.ndarray) -> list[int]:
+    """Which of 64 * LANES remainders an odd number of the hashes have: another hash changes one bit."""
+    odd = np.bincount(x & (64 * LANES - 1), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, h1, h2, size, keys): two hashes of the whole text, the number of its shingles and their table entries."""
 
@@ -224,11 +234,18 @@ def _grouped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.record_batch([b.column("h1"), pa.array([shingles(t.as_py(), width) for t in b.column("text")], pa.list_(pa.int64()))], names=["h1", "x"])
+                xs = [shingles(t.as_py(), width) for t in b.column("text")]
+                kind = pa.list_(pa.int64())
+                bits = np.array([parities(x) for x in xs], np.int64).reshape(-1, LANES)
+                columns = [pa.array([len(x) for x in xs], pa.int32()), *(pa.array(bits[:, i]) for i in range(LANES))]
+                yield pa.record_batch([b.column("h1"), pa.array(xs, kind), *columns], names=["h1", "x", "size", *(f"m{i}" for i in range(LANES))])
 
         texts = docs.filter("text IS NOT NULL").withColumn("h1", F.xxhash64("text")).join(places, "h1").filter("doc_id <=> id").select("h1", "text")
-        sets = cut(map_arrow(texts, run, "h1 bigint, x array<bigint>").dropDuplicates(["h1"]), "near-sets")
-        links = keep(decided_links(two, many, lambda pairs: _verified(pairs, sets, similarity), "near", similarity))
+        sets = cut(map_arrow(texts, run, "h1 bigint, x array<bigint>, size int, " + ", ".join(f"m{i} bigint" for i in range(LANES))).dropDuplicates(["h1"]), "near-sets")
+        # of sets at that similarity no more hashes are in one alone
+        most = f"(sa + sb) * {(1 - similarity) / (1 + similarity)!r}D + 1e-6D"
+        likely = lambda pairs: possible_pairs(pairs, sets, LANES, most)
+        links = keep(decided_links(two, many, lambda pairs: _verified(likely(pairs), sets, similarity), "near", similarity))
     groups = components(links, "a", "b").select(F.col("node").alias("h1"), F.col("component").alias("group"))
     reps = reps.select("h1", "h2", "least").join(groups, "h1", "left").withColumn("group", F.coalesce("group", "h1"))
     first = reps.groupBy("group").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "h1", "h2")).alias("first"))
@@ -262,8 +279,14 @@ def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Data
     them apart.
     """
     kept = _grouped(docs, width, similarity).filter("doc_id = first.doc_id AND h1 = first.h1 AND h2 = first.h2")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    kept = kept.groupBy(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.count("*").alias("_n"))
+    kept = cut(kept, "near-kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.withColumns({"_own1": F.xxhash64(text), "_own2": F.xxhash64(F.lit(7), text)})
-    own = own.join(small(kept), (F.col("doc_id") == F.col("_id")) & (F.col("_own1") == F.col("_h1")) & (F.col("_own2") == F.col("_h2")), "left_semi")
-    return own.dropDuplicates(["doc_id", "_own1", "_own2"]).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("_own1") == F.col("_h1")) & (F.col("_own2") == F.col("_h2"))
+    out = own.join(small(kept.filter("_n = 1")), same, "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    # whole texts are shuffled for repeated rows alone
+    twice = kept.filter("_n > 1")
+    if twice.isEmpty():
+        return out
+    return out.unionByName(own.join(small(twice), same, "left_semi").dropDuplicates(["doc_id", "_own1", "_own2"]).select(*docs.columns))
