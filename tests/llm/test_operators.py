@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from bondframe.llm import bpe, contamination, embeddings, langid, lines, quality, queries, secrets, shard, simhash, sql, urls
-from bondframe.llm.common import components, decided_links, shared_entries
+from bondframe.llm.common import components, decided_links, possible_pairs, shared_entries
 
 DATA = "/root/testdata/sf0.001"
 BIG = "/root/testdata/sf0.01"
@@ -578,3 +578,44 @@ def test_sql(spark, name):
     want, got = con.execute(sql.ORACLE[name]).df(), queries.QUERIES[name](spark, DATA).toPandas()
     rows = lambda df: sorted(tuple("" if v is None or v != v else str(int(v)) if not isinstance(v, str) else v for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert sorted(want.columns) == sorted(got.columns) and rows(want) == rows(got)
+
+
+def test_marks_leave_out_no_similar_pair(spark):
+    """Lines edited within the limits pass the marks, whatever the edits; unlike lines mostly don't."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    rows, pairs = [], []
+    for k in range(300):
+        words = [word() for _ in range(rng.randint(12, 110))]
+        a = " ".join(words)[:720].strip()
+        if k % 2:  # characters, spaces among them
+            b = list(a)
+            for _ in range(lines.FEW):
+                at = rng.randrange(1, len(b) - 1)
+                b[at : at + rng.randint(0, 1)] = rng.choice([" ", "x", "", "yz"[: rng.randint(0, 1)]])
+            b = " ".join("".join(b).split())
+        else:
+            b = a.split(" ")
+            for _ in range(len(b) // 5):
+                b[rng.randrange(len(b))] = word()
+            b = " ".join(b)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        pairs += [(2 * k, 2 * k + 1), (2 * k, (2 * k + 3) % 600)]
+    size = F.length("t") * lines.PACK + F.size(F.split("t", " "))
+    texts = spark.createDataFrame(rows, "h1 bigint, t string").withColumn("size", size).withColumn("c", lines.coded(F.col("t")))
+    table = spark.createDataFrame(pairs, "a bigint, b bigint")
+    alike = {tuple(r) for r in lines._verified(table, texts).collect()}
+    left = {tuple(r) for r in possible_pairs(table, lines.marks(texts), lines.LANES, lines._most()).collect()}
+    assert len(alike) > 200 and alike <= left
+    assert len(left - alike) < 200
+
+
+def test_parities_of_shingle_sets():
+    """A hash more or less changes one bit."""
+    rng = np.random.RandomState(3)
+    x = np.unique(rng.randint(-(2**62), 2**62, 400))
+    bits = lambda y: [b & (2**64 - 1) for b in simhash.parities(y)]
+    for n in (0, 1, 20, 80):
+        differ = sum((p ^ q).bit_count() for p, q in zip(bits(x), bits(x[n:])))
+        assert differ <= n and differ % 2 == n % 2
+    assert len(simhash.parities(x[:0])) == simhash.LANES
