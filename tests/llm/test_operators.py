@@ -383,6 +383,44 @@ def test_lines_alike_by_words_of_unlike_lengths(spark, copies):
     assert [r.doc_id for r in got if r.n_removed == 0] == [0]
 
 
+def test_long_lines_alike_by_characters(spark):
+    """A letter changed in 25 of 100 words: 0.95 alike by characters, 0.75 by words, by more than a few edits."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randrange(3, 9)))
+    rows = []
+    for k in range(20):
+        words = [word() for _ in range(100)]
+        other = [w[:1] + "z" + w[2:] if 40 <= i < 65 else w for i, w in enumerate(words)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    texts = spark.createDataFrame(rows, "h1 bigint, t string").withColumn("size", F.length("t") * lines.PACK + F.size(F.split("t", " "))).withColumn("c", lines.coded(F.col("t")))
+    table = spark.createDataFrame([(a, b) for a in range(40) for b in (a + 1, a + 3) if a % 2 == 0 and b < 40], "a bigint, b bigint")
+    assert {tuple(x) for x in lines._verified(table, texts).collect()} == {(2 * k, 2 * k + 1) for k in range(20)}
+    gone = {x.doc_id for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").collect()}
+    assert gone <= {2 * k + 1 for k in range(20)} and len(gone) >= 18
+
+
+def test_letter_marks_leave_out_no_similar_line(spark):
+    """Lines within the edits pass the marks of letters, whatever the edits; a letter more changes a bit at most."""
+    r = random.Random(13)
+    rows = []
+    for k in range(200):
+        a = " ".join("".join(r.choice("aeiostn\u00e4\u4e00") for _ in range(r.randint(2, 9))) for _ in range(r.randint(12, 90)))
+        b = list(a)
+        for _ in range(len(a) // 5):
+            at = r.randrange(1, len(b) - 1)
+            b[at : at + r.randint(0, 1)] = r.choice(["e", "", "q", " "])
+        rows.append((k, a, "".join(b)))
+    d = spark.createDataFrame(rows, "k int, a string, b string")
+    for z in "ab":
+        rings, *lanes = lines.letter_marks(F.col(z))
+        d = d.select("*", rings).select("*", *(x.alias(f"{z}{i}") for i, x in enumerate(lanes))).drop("rings")
+    assert lines.LANES * 8 == len(lines.LETTERS) == len(set(lines.LETTERS))
+    for x in d.collect():
+        bits = sum(((x[f"a{i}"] ^ x[f"b{i}"]) & (2**64 - 1)).bit_count() for i in range(lines.LANES))
+        far = distance(x.a, x.b)
+        assert bits <= 2 * far and bits <= sum(abs(x.a.count(c) - x.b.count(c)) for c in lines.LETTERS)
+
+
 def test_line_normal_form(spark):
     rows = [(1, "Some words, here: (and) there\n---\n}\n\u2014\u2014"), (2, "some\twords here\u00a0and there!\n---\n}\n\u2014\u2014"), (3, "a,b;" * 500)]
     out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
