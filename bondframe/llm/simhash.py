@@ -196,21 +196,34 @@ def parities(x: np.ndarray) -> list[int]:
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h1, h2, size, keys): two hashes of the whole text, the number of its shingles and their table entries."""
+    """(doc_id, h1, h2, size, fp, keys): two hashes of the whole text, the number of its shingles, its SimHash and the entries of its MinHashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, rows = [], []
+            sizes, fps, rows = [], [], []
             for t in b.column("text"):
                 x = shingles(t.as_py(), width)
                 sizes.append(len(x))
+                fps.append(_signed(fingerprint(t.as_py(), width)))
                 rows.append(band_keys(x))
             keys = [pa.array([r and r[k] for r in rows], pa.int64()) for k in range(BANDS)]
-            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "h1", "h2")), pa.array(sizes, pa.int32()), *keys], names=["doc_id", "h1", "h2", "size", *KEYS])
+            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "h1", "h2")), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), *keys], names=["doc_id", "h1", "h2", "size", "fp", *KEYS])
 
     text = F.coalesce("text", F.lit(""))
     hashed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"))
-    return map_arrow(hashed, run, "doc_id bigint, h1 bigint, h2 bigint, size int, " + ", ".join(f"{c} bigint" for c in KEYS))
+    return map_arrow(hashed, run, "doc_id bigint, h1 bigint, h2 bigint, size int, fp bigint, " + ", ".join(f"{c} bigint" for c in KEYS))
+
+
+def _simhash_entries(reps: DataFrame) -> DataFrame:
+    """(entry, h1, size): texts whose fingerprints ``fingerprint_links`` connects share an entry."""
+    worded = reps.filter("k0 IS NOT NULL").select("fp", "h1", "size")
+    groups = components(fingerprint_links(worded.select("fp").distinct()), "fp", "peer")
+    return worded.join(groups, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("entry"), "h1", "size")
+
+
+def _band_entries(reps: DataFrame) -> DataFrame:
+    """(entry, h1, size): texts whose MinHashes agree in a band share an entry."""
+    return reps.filter("k0 IS NOT NULL").select(F.explode(F.array(*KEYS)).alias("entry"), "h1", "size")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -224,10 +237,10 @@ def _grouped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(doc_id, h1, h2, first) of every row: first is (no id, doc_id, h1, h2) of the text that stands for its group."""
     docs = docs_only(docs, doc_id="bigint", text="string")
     rows = cut(_sketches(docs, width), "near-sketches")
-    reps = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("size").alias("size"), *(F.min(c).alias(c) for c in KEYS))
+    reps = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("size", "fp", *KEYS)))
     reps = cut(reps, "near-reps")
     with scratch() as keep:
-        probes = reps.filter("k0 IS NOT NULL").select(F.explode(F.array(*KEYS)).alias("entry"), "h1", "size")
+        probes = _band_entries(reps).union(cut(_simhash_entries(reps), "near-simhash"))
         two, many = shared_entries(probes, "near")
         ids = small(two.select(F.col("a").alias("h1")).union(two.select("b")).union(many.select("h1")).distinct())
         places = small(cut(reps.join(ids, "h1").select("h1", F.col("least").alias("id")), "near-places"))
@@ -257,9 +270,11 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """(doc_id, component_id) of every row: groups of near duplicates.
 
     Two texts link when the Jaccard similarity of their shingles of
-    ``width`` words is ``similarity`` or more. Candidates come from MinHashes
-    of those very shingles, in BANDS bands of ROWS: a pair at 0.8 is missed
-    with a probability under 3e-5, whether words were replaced, cut or added.
+    ``width`` words is ``similarity`` or more. Candidates are texts whose
+    SimHashes are linked, by multi-index hashing as in ``simhash_groups``, and
+    those that MinHashes of the same shingles meet in BANDS bands of ROWS:
+    SimHashes alone lose pairs with text added or cut, the bands miss a pair
+    at 0.8 with a probability under 3e-5, whatever was changed.
     Shingle sets, counted in full, confirm them. Equal texts are one entry
     from the start; ``decided_links`` proves or connects every two texts that
     share a table entry, however many the entry has. Texts without words are

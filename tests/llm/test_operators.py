@@ -187,6 +187,21 @@ def test_near_groups_of_one_template(spark):
     assert len(pairs) == 40 and got == find(pairs, texts)
 
 
+def test_near_groups_by_simhash(spark, monkeypatch):
+    """Without the bands of MinHashes, near copies are found whose SimHashes are linked."""
+    r = random.Random(16)
+    texts = {}
+    for g in range(12):
+        words = [f"w{r.randrange(10**6)}" for _ in range(1500)]
+        texts[2 * g], texts[2 * g + 1] = " ".join(words), " ".join([*words, "more"])
+    fps = {i: simhash.fingerprint(t, 5) for i, t in texts.items()}
+    want = find([(2 * g, 2 * g + 1) for g in range(12) if (fps[2 * g] ^ fps[2 * g + 1]).bit_count() <= simhash.DISTANCE], texts)
+    bands = simhash._band_entries
+    monkeypatch.setattr(simhash, "_band_entries", lambda reps: bands(reps).limit(0))
+    got = {x.doc_id: x.component_id for x in simhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) < 20
+
+
 def test_decided_links(spark):
     """In entries of any size all similar pairs are connected, also those that aren't similar to the smallest."""
     similar = [(2 * k, 2 * k + 1) for k in range(30)] + [(100 + k, 101 + k) for k in range(50)] + [(0, 150)]
