@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from bondframe.llm import bpe, contamination, embeddings, langid, lines, quality, queries, secrets, shard, simhash, sql, urls
+from bondframe.llm import bpe, common, contamination, embeddings, langid, lines, quality, queries, secrets, shard, simhash, sql, urls
 from bondframe.llm.common import components, decided_links, possible_pairs, shared_entries
 
 DATA = "/root/testdata/sf0.001"
@@ -672,3 +672,28 @@ def test_parities_of_shingle_sets():
         differ = sum((p ^ q).bit_count() for p, q in zip(bits(x), bits(x[n:])))
         assert differ <= n and differ % 2 == n % 2
     assert len(simhash.parities(x[:0])) == simhash.LANES
+
+
+def test_pairs_of_a_large_entry_take_no_disk(spark, monkeypatch):
+    """Lines of one passage that are alike in pairs only: what is written grows with the lines, not with their pairs."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(6))
+    form, rows = " ".join(word() for _ in range(60)), []
+    for k in range(150):
+        own = " ".join(word() for _ in range(30))
+        rows += [(2 * k, f"{form} {own} one"), (2 * k + 1, f"{form} {own} two")]
+    written, real = [], lines.cut
+    keep = lambda df, name: (out := real(df, name), written.append(out.count()))[0]
+    monkeypatch.setattr(lines, "cut", keep)
+    monkeypatch.setattr(common, "cut", keep)
+    monkeypatch.setattr(common, "TILE", 64)
+    gone = [x.doc_id for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").collect()]
+    assert sorted(gone) == [2 * k + 1 for k in range(150)]
+    assert max(written) <= 30 * len(rows)
+
+
+def test_edit_similarity_beyond_the_basic_plane(spark):
+    """Characters of two UTF-16 units count once, as in levenshtein."""
+    rows = [("ab" * 5, "ab" * 4 + "xy"), ("ab" * 5, "ab" * 4 + "\U0001f600\U0001f601"), ("ab" * 5, "ab" * 3 + "\U0001f600\U0001f601xy"), ("", "a"), ("a", "a")]
+    got = spark.createDataFrame(rows, "ta string, tb string").selectExpr("ta", "tb", f"{lines._within('ta', 'tb')} AS fit").collect()
+    assert [x.fit for x in got] == [distance(x.ta, x.tb) <= 0.2 * max(len(x.ta), len(x.tb)) for x in got] == [True, True, False, False, True]
