@@ -14,7 +14,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from ..ship import map_arrow
+from ..ship import FORGET, map_arrow
 from .common import docs_only
 
 #: Bytes that a leaf of the tree has at most.
@@ -110,6 +110,7 @@ class Bpe:
 
 
 _LOADED: dict[tuple[str, str], Bpe] = {}
+FORGET[__name__] = _LOADED.clear
 
 
 def _bpe(path: str, pattern: str) -> Bpe:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import map_arrow
+from ..ship import FORGET, map_arrow
 from ..lineage import cut, scratch
 from .common import components, decided_links, docs_only, possible_pairs, shared_entries, small
 
@@ -155,6 +155,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+FORGET[__name__] = _HASHES.clear
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -697,3 +698,21 @@ def test_edit_similarity_beyond_the_basic_plane(spark):
     rows = [("ab" * 5, "ab" * 4 + "xy"), ("ab" * 5, "ab" * 4 + "\U0001f600\U0001f601"), ("ab" * 5, "ab" * 3 + "\U0001f600\U0001f601xy"), ("", "a"), ("a", "a")]
     got = spark.createDataFrame(rows, "ta string, tb string").selectExpr("ta", "tb", f"{lines._within('ta', 'tb')} AS fit").collect()
     assert [x.fit for x in got] == [distance(x.ta, x.tb) <= 0.2 * max(len(x.ta), len(x.tb)) for x in got] == [True, True, False, False, True]
+
+
+def test_workers_forget_the_caches_of_other_stages(spark):
+    """A worker that goes on to another module's stage no longer holds the token ranks and encoded pieces."""
+    from bondframe.ship import map_arrow
+
+    path = public_tokenizers.path(queries.RANKS)
+    docs = spark.createDataFrame([(i, f"text {i} of some words") for i in range(8)], "doc_id long, text string").repartition(2)
+
+    def held(batches):
+        from bondframe.llm import bpe as there
+
+        for b in batches:
+            yield pa.record_batch([pa.array([len(there._LOADED)] * b.num_rows, pa.int32())], names=["n"])
+
+    for _ in range(2):
+        assert bpe.digest_documents(docs, path, public_tokenizers.PATTERN).count() == 8
+        assert [r.n for r in map_arrow(docs, held, "n int").collect()] == [0] * 8
