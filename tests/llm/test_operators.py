@@ -716,3 +716,39 @@ def test_workers_forget_the_caches_of_other_stages(spark):
     for _ in range(2):
         assert bpe.digest_documents(docs, path, public_tokenizers.PATTERN).count() == 8
         assert [r.n for r in map_arrow(docs, held, "n int").collect()] == [0] * 8
+
+
+@pytest.mark.parametrize("spread", [2**64 // 600, 1])
+def test_blocks_of_a_large_entry_meet_by_themselves(spark, monkeypatch, spread):
+    """Every two members of an entry meet once, also if ids are no hashes; no key holds a whole large entry."""
+    monkeypatch.setattr(common, "TILE", 50)
+    ids = [i * spread - 2**63 * (spread > 1) for i in range(600)]
+    rows = [(1, h) for h in ids] + [(2, h) for h in ids[::3]] + [(3, ids[0]), (3, ids[1])]
+    members = spark.createDataFrame(rows, "entry bigint, h1 bigint")
+    facts = spark.createDataFrame([(h, h // spread % 7) for h in ids], "h1 bigint, f bigint")
+    met = common.entry_pairs(members, facts, "fa <> fb AND ga = fa + 1", {"g": F.col("f") + 1})
+    got = collections.Counter((r.a, r.b) for r in met.select("a", "b").collect())
+    assert got == collections.Counter((a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if a // spread % 7 != b // spread % 7)
+    if spread > 1:
+        sizes = [r["count"] for r in common._blocks(members).groupBy("entry", "block").count().collect()]
+        assert len(sizes) == 12 + 4 + 1 and max(sizes) <= common.TILE + 1
+
+
+def test_lines_sketches_are_dropped_before_texts_are_proved(spark, monkeypatch):
+    """The table of all lines' sketches takes no disk any more when texts are fetched; few pairs fetch few texts."""
+    tables, there, real, decide = {}, [], lines.cut, lines.decided_links
+
+    def keep(df, name):
+        out = tables[name] = real(df, name)
+        return out
+
+    def decided(*a):
+        there.append(spark._jvm.java.io.File(tables["line-keys"]._table.removeprefix("file://")).exists())
+        return decide(*a)
+
+    monkeypatch.setattr(lines, "cut", keep)
+    monkeypatch.setattr(lines, "decided_links", decided)
+    form = "a line of some ten words that is here twice with"
+    rows = [(1, f"{form} one"), (2, f"{form} two"), (3, "another that nothing else is like at all")]
+    assert {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").collect()} == {2}
+    assert there == [False]
