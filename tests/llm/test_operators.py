@@ -752,3 +752,15 @@ def test_lines_sketches_are_dropped_before_texts_are_proved(spark, monkeypatch):
     rows = [(1, f"{form} one"), (2, f"{form} two"), (3, "another that nothing else is like at all")]
     assert {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").collect()} == {2}
     assert there == [False]
+
+
+def test_pairs_of_entries_are_dealt_to_all_tasks(spark):
+    """The keys of few bytes and many pairs aren't packed into one task."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        members = spark.createDataFrame([(e, h) for e in range(64) for h in range(3)], "entry bigint, h1 bigint")
+        met = common.entry_pairs(members, members.select("h1").distinct(), "true").select("a", "b")
+        assert met.rdd.getNumPartitions() == 8 and met.count() == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
