@@ -125,7 +125,7 @@ def balaban_index(spark: SparkSession, sf: str) -> DataFrame:
  SELECT d.g, d.d AS lag, round(sum(abs(x.m - y.m)), 6) AS ggi, round(avg(abs(x.m - y.m)), 6) AS jgi FROM dist d JOIN m x ON x.g = d.g AND x.i = d.i AND x.j = d.j JOIN m y ON y.g = d.g AND y.i = d.j AND y.j = d.i WHERE d.i > d.j GROUP BY d.g, d.d""")
 def topological_charge(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    return rounded(G.topological_charge(bonds, G.distances(atoms, bonds), 10)).withColumn("lag", F.col("lag").cast("bigint"))
+    return rounded(G.topological_charge(atoms, bonds)).withColumn("lag", F.col("lag").cast("bigint"))
 
 
 @query(f"""WITH RECURSIVE {DIST}, near AS (SELECT g, i AS a, j AS b FROM dist WHERE d = 1), w AS (SELECT g, idx, 1::BIGINT AS c, 0 AS k FROM atoms UNION ALL SELECT w.g, n.a, w.c, w.k + 1 FROM w JOIN near n ON n.g = w.g AND n.b = w.idx WHERE w.k < 5)
