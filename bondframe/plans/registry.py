@@ -148,7 +148,7 @@ def binned_sums(spark: SparkSession, sf: str) -> DataFrame:
  SELECT g, round(max(s), 6) AS s_max, round(min(s), 6) AS s_min, round(max(abs(s)), 6) AS s_absmax, round(min(abs(s)), 6) AS s_absmin FROM s GROUP BY g""")
 def estate_extremes(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    return rounded(G.estates(atoms, G.distances(atoms, bonds)))
+    return rounded(G.estates(atoms, bonds))
 
 
 @query(f"""WITH {ATOMS}, c AS (SELECT g, q - 0.05 AS q FROM atoms) SELECT g, round(coalesce(max(q) FILTER (WHERE q > 0) / sum(q) FILTER (WHERE q > 0), 0), 6) AS rpcg, round(coalesce(min(q) FILTER (WHERE q < 0) / sum(q) FILTER (WHERE q < 0), 0), 6) AS rncg FROM c GROUP BY g""")

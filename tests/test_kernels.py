@@ -29,6 +29,7 @@ def orders(spark, tmp_path_factory):
 #: Queries whose pairs, walks or labels stay in the task that has the graph.
 KERNELS = [
     "topological_charge",
+    "estate_extremes",
     "tree_distances",
     "graph_distances",
 ]
