@@ -92,7 +92,7 @@ def tree_distances(spark: SparkSession, sf: str) -> DataFrame:
  CASE WHEN sq > 1e-9 THEN round((atsc / gsum) / (sq / n), 6) + 0.0 END AS mats, CASE WHEN sq > 1e-9 AND n > 1 THEN round((gap / (2 * gsum)) / (sq / (n - 1)), 6) END AS gats FROM far JOIN st ON st.g = far.g""")
 def autocorr_lags(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    out = G.autocorrelations(atoms, G.distances(atoms, bonds, LAGS), LAGS)
+    out = G.autocorrelations(atoms, bonds, LAGS)
     # as SQL rounds, by the rounded product: round() goes by the digits of the value, just under an edge the other way
     out = out.withColumns({c: F.round(F.col(c) * 1e6) / 1e6 for c, k in out.dtypes if k == "double"})
     out = rounded(out)

@@ -30,6 +30,7 @@ def orders(spark, tmp_path_factory):
 KERNELS = [
     "topological_charge",
     "estate_extremes",
+    "autocorr_lags",
     "tree_distances",
     "graph_distances",
 ]
