@@ -160,7 +160,7 @@ def relative_charges(spark: SparkSession, sf: str) -> DataFrame:
  SELECT s.g, round(p.n / exp(l / p.n), 6) AS mde FROM sizes s LEFT JOIN p ON p.g = s.g""")
 def distance_edge(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    return rounded(G.distance_edge(atoms, bonds, G.distances(atoms, bonds), 2, 2))
+    return rounded(G.distance_edge(atoms, bonds, 2, 2))
 
 
 @query(f"""WITH {ATOMS}, c AS (SELECT *, sum(CASE WHEN z % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY idx) AS b FROM atoms) SELECT g, idx, min(idx) OVER (PARTITION BY g, b) AS comp FROM c""")

@@ -31,6 +31,7 @@ KERNELS = [
     "topological_charge",
     "estate_extremes",
     "autocorr_lags",
+    "distance_edge",
     "tree_distances",
     "graph_distances",
 ]
