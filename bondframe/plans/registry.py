@@ -118,7 +118,7 @@ def distance_indices(spark: SparkSession, sf: str) -> DataFrame:
  SELECT sizes.g, round(CASE WHEN m IS NULL OR m - n + 2 = 0 THEN 0 ELSE m / (m - n + 2)::DOUBLE * t END, 6) AS balaban_j FROM sizes LEFT JOIN t ON t.g = sizes.g""")
 def balaban_index(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    return rounded(G.balaban(atoms, bonds, G.distances(atoms, bonds)))
+    return rounded(G.balaban(atoms, bonds))
 
 
 @query(f"""WITH {DIST}, m AS (SELECT a.g, a.i, b.j, sum(CASE WHEN b.d > 0 THEN 1.0 / (b.d * b.d) ELSE 0 END) AS m FROM dist a JOIN dist b ON a.g = b.g AND a.j = b.i WHERE a.d = 1 GROUP BY a.g, a.i, b.j)

@@ -32,6 +32,7 @@ KERNELS = [
     "estate_extremes",
     "autocorr_lags",
     "distance_edge",
+    "balaban_index",
     "tree_distances",
     "graph_distances",
 ]
