@@ -110,7 +110,7 @@ def connectivity_indices(spark: SparkSession, sf: str) -> DataFrame:
  SELECT g, CAST(max(ecc) AS BIGINT) AS diameter, CAST(min(ecc) AS BIGINT) AS radius, CAST(sum(s) / 2 AS BIGINT) AS wpath, CAST(sum(p3) / 2 AS BIGINT) AS wpol, CASE WHEN min(ecc) > 0 THEN round((max(ecc) - min(ecc)) / min(ecc)::DOUBLE, 6) END AS shape FROM e GROUP BY g""")
 def distance_indices(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = graph(spark, sf)
-    out = rounded(G.distance_indices(atoms, G.distances(atoms, bonds)))
+    out = rounded(G.distance_indices(atoms, bonds))
     return out.withColumn("diameter", F.col("diameter").cast("bigint")).withColumn("radius", F.col("radius").cast("bigint"))
 
 

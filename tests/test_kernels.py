@@ -33,6 +33,7 @@ KERNELS = [
     "autocorr_lags",
     "distance_edge",
     "balaban_index",
+    "distance_indices",
     "tree_distances",
     "graph_distances",
 ]
