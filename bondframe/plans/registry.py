@@ -168,7 +168,7 @@ def conjugated_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components of the chain whose bonds lead to an atom with z not divisible by 3."""
     atoms = G.order_atoms(table(spark, sf, "lineitem"))
     chain = atoms.filter("idx >= 1 AND z % 3 <> 0").select("g", (F.col("idx") - 1).alias("u"), F.col("idx").alias("v"))
-    out = G.components(atoms, chain, 5)
+    out = G.components(atoms, chain)
     return out.select("g", F.col("idx").cast("bigint").alias("idx"), F.col("comp").cast("bigint").alias("comp"))
 
 

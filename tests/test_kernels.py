@@ -37,6 +37,7 @@ KERNELS = [
     "tree_distances",
     "graph_distances",
     "walk_counts",
+    "conjugated_components",
 ]
 
 
