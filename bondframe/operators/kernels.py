@@ -131,14 +131,15 @@ def whole_graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[Graphs]:
         yield Graphs(pa.Table.from_batches(held))
 
 
-def per_graphs(atoms: DataFrame, bonds: DataFrame, run: Callable[[Graphs], Iterator[tuple]], columns: str) -> DataFrame:
+def per_graphs(atoms: DataFrame, bonds: DataFrame, run: Callable[[Graphs], Iterator[tuple]], columns: str, label: str = "w") -> DataFrame:
     """(g, columns...): what ``run`` yields of some whole graphs, as (numbers of graphs, column, ...).
 
     Atoms and bonds of a graph meet in a task, whose size doesn't grow with
-    the tables; what comes out isn't shuffled.
+    the tables; what comes out isn't shuffled. ``label`` is the atoms' column
+    that ``run`` has as w.
     """
     none = F.lit(None).cast("double")
-    w = F.col("w").cast("double") if "w" in atoms.columns else none
+    w = F.col(label).cast("double") if label in atoms.columns else none
     rows = atoms.select("g", F.col("idx").cast("bigint").alias("a"), F.lit(-1).cast("bigint").alias("b"), w.alias("w"))
     rows = rows.unionByName(bonds.select("g", F.col("u").cast("bigint").alias("a"), F.col("v").cast("bigint").alias("b"), none.alias("w")))
     tasks = getattr(atoms, "_tasks", None) or task_count(atoms)
@@ -325,3 +326,46 @@ def components(x: Graphs) -> Iterator[tuple]:
             break
         low = new
     yield x.of, x.idx, x.idx[low]
+
+
+def connectivity(x: Graphs) -> Iterator[tuple]:
+    """deg_sum, zagreb1, chi0, mzagreb1 over atoms; n_bonds, zagreb2, chi1, mzagreb2 over bonds. What has no term is null, chi0 is 0."""
+    size, at, some = len(x.g), x.of[x.deg > 0], x.deg[x.deg > 0].astype(float)
+    total = lambda of, v, kind=float: _summed(size, of, v, kind)
+    bonded, bond = np.bincount(at, minlength=size) > 0, x.of[x.u]
+    n, d = np.bincount(bond, minlength=size), x.deg[x.u] * x.deg[x.v]
+    gone = lambda v, kept: pa.array(v, mask=~kept)
+    yield (
+        np.arange(size), total(x.of, x.deg, np.int64), total(x.of, x.deg * x.deg, np.int64), total(at, some**-0.5), gone(total(at, some**-2.0), bonded),
+        gone(n, n > 0), gone(total(bond, d, np.int64), n > 0), gone(total(bond, d.astype(float) ** -0.5), n > 0), gone(total(bond, 1.0 / d), n > 0),
+    )
+
+
+def kappa_counts(x: Graphs) -> Iterator[tuple]:
+    """Atoms, ends of bonds, and ordered pairs of bonds that meet in an atom."""
+    size = len(x.g)
+    yield np.arange(size), x.n, _summed(size, x.of, x.deg, np.int64), _summed(size, x.of, x.deg * (x.deg - 1), np.int64)
+
+
+def _summed(size: int, at: np.ndarray, values: np.ndarray, kind: type) -> np.ndarray:
+    out = np.zeros(size, kind)
+    np.add.at(out, at, values)
+    return out
+
+
+def path_matches(zs: tuple[int, int, int]) -> Callable[[Graphs], Iterator[tuple]]:
+    """How many sets of three atoms are a path with labels ``zs``, of graphs that have any."""
+
+    def run(x: Graphs) -> Iterator[tuple]:
+        is_ = lambda k, i: x.has_w[i] & (x.w[i] == zs[k])
+        everyone = np.arange(len(x.of))
+        mids = everyone[is_(1, everyone)]
+        place, a = x.neighbours(mids)
+        m, a = mids[place][is_(0, a)], a[is_(0, a)]
+        place, b = x.neighbours(m)
+        fit = is_(2, b) & (a[place] != b)
+        sets = np.unique(np.sort(np.stack([m[place], a[place], b])[:, fit], axis=0), axis=1)
+        k, n = np.unique(x.of[sets[0]], return_counts=True)
+        yield k, n
+
+    return run

@@ -38,6 +38,7 @@ KERNELS = [
     "graph_distances",
     "walk_counts",
     "conjugated_components",
+    "connectivity_indices",
 ]
 
 
@@ -55,11 +56,7 @@ def test_long_orders_by_whole_graphs(spark, orders, name):
     assert sorted(map(repr, want)) == sorted(repr(tuple(x)) for x in df.collect())
 
 
-#: Queries of joins and aggregates alone.
-JOINS = ["connectivity_indices", "kappa_shapes", "substructure_counts"]
-
-
-@pytest.mark.parametrize("name", JOINS)
+@pytest.mark.parametrize("name", ["connectivity_indices", "kappa_shapes", "substructure_counts"])
 def test_tasks_grow_in_number_only(spark, orders, name, monkeypatch):
     monkeypatch.setattr(K, "TASK_ATOMS", 10)
     df = registry.QUERIES[name](spark, orders)
@@ -99,7 +96,7 @@ def test_blocks_and_batches_dont_change_results(monkeypatch):
         assert sorted(g for x in batches for g in x.g) == [K.NONE, 0, 1, 2, 3]
         pairs = {(int(x.g[x.of[i]]), int(x.idx[i]), int(x.idx[j])): int(n) for x in batches for p in x.pairs() for i, j, n in zip(*p)}
         assert pairs == far
-        for name, run in (("charge", K.topological_charge(None)), ("auto", K.autocorrelations(4)), ("state", K.estates), ("balaban", K.balaban), ("edge", K.distance_edge(2, 2)), ("index", K.distance_indices)):
+        for name, run in (("charge", K.topological_charge(None)), ("auto", K.autocorrelations(4)), ("state", K.estates), ("balaban", K.balaban), ("edge", K.distance_edge(2, 2)), ("index", K.distance_indices), ("connected", K.connectivity), ("kappa", K.kappa_counts), ("path", K.path_matches((1, 2, 1)))):
             with np.errstate(all="ignore"):
                 parts = [(x.g[p[0]].tolist(), *(pa.array(c).to_pylist() for c in p[1:])) for x in batches for p in run(x)]
             values = sorted(repr([round(c, 9) if isinstance(c, float) else c for c in row]) for p in parts for row in zip(*p))
