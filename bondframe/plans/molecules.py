@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import elements as el
+from ..lineage import cut
+from ..operators.kernels import task_count
 from .featurize import featurize, parse, scaffolds
 
 #: Fragment, and its heavy atoms, rings, carbons, nitrogens, oxygens, hydrogens inside a chain.
@@ -25,6 +27,7 @@ FRAGMENTS = [
 def order_molecules(spark: SparkSession, sf: str) -> DataFrame:
     """(mol_id, smiles): the fragments of an order's lines between two methyl groups."""
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    li = li.repartition(task_count(li), "l_orderkey")  # a task's lines don't grow with the table
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     f = F.array(*(F.lit(x[0]) for x in FRAGMENTS))
     frag = F.get(f, F.pmod("l_partkey", F.lit(len(FRAGMENTS))).cast("int"))
@@ -34,6 +37,21 @@ def order_molecules(spark: SparkSession, sf: str) -> DataFrame:
     return parts.groupBy("mol_id").agg(F.concat(F.lit("C"), text, F.lit("C")).alias("smiles"))
 
 
+#: Different texts of a task: up to half a minute's work.
+TASK_TEXTS = 500
+
+
+def each_text(molecules: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``molecules`` with what ``work`` makes of their texts; each different text is worked on once.
+
+    The texts are written, so that their number is known, and dealt to tasks
+    by it: their work is far more than their bytes tell.
+    """
+    texts = cut(molecules.select("smiles").distinct(), "texts")
+    tasks = max(molecules.sparkSession.sparkContext.defaultParallelism, -(-texts.count() // TASK_TEXTS))
+    return molecules.join(work(texts.repartition(tasks, "smiles")), "smiles")
+
+
 def _case(i: int) -> str:
     return "CASE l_partkey % 10 " + " ".join(f"WHEN {k} THEN {row[i]}" for k, row in enumerate(FRAGMENTS)) + " END"
 
@@ -43,15 +61,16 @@ _SUMS = f"s AS (SELECT l_orderkey AS mol_id, sum({_case(1)}) + 2 AS heavy, sum({
 
 def molecule_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts by native expressions over the nested graph: only the parse runs in Python."""
-    m = parse(order_molecules(spark, sf))
     z = lambda k: F.size(F.filter("mol.atoms", lambda a: a["z"] == k)).cast("bigint")
     h = F.aggregate("mol.atoms", F.lit(0).cast("bigint"), lambda s, a: s + a["nh"])
     weight = F.aggregate("mol.atoms", F.lit(0.0), lambda s, a: s + a["mass"]) + h * el.WEIGHT["H"]
     arom = F.size(F.filter("mol.bonds", lambda b: b["arom"])).cast("bigint")
-    return m.select(
-        "mol_id", F.size("mol.atoms").cast("bigint").alias("n_heavy"), F.size("mol.rings").cast("bigint").alias("n_rings"),
-        z(6).alias("n_c"), z(7).alias("n_n"), z(8).alias("n_o"), h.alias("n_h"), F.round(weight, 4).alias("weight"), arom.alias("n_arom_bonds"),
-    )
+    counts = {
+        "n_heavy": F.size("mol.atoms").cast("bigint"), "n_rings": F.size("mol.rings").cast("bigint"),
+        "n_c": z(6), "n_n": z(7), "n_o": z(8), "n_h": h, "weight": F.round(weight, 4), "n_arom_bonds": arom,
+    }
+    m = each_text(order_molecules(spark, sf), lambda texts: parse(texts).select("smiles", *(c.alias(n) for n, c in counts.items())))
+    return m.select("mol_id", *counts)
 
 
 def molecule_descriptors(spark: SparkSession, sf: str) -> DataFrame:
