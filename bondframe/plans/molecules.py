@@ -76,7 +76,7 @@ def molecule_counts(spark: SparkSession, sf: str) -> DataFrame:
 def molecule_descriptors(spark: SparkSession, sf: str) -> DataFrame:
     """Descriptors of the kernel for the same molecules."""
     cols = ["HeavyAtomCount", "RingCount", "nC", "nN", "nO", "nH", "nBonds", "HeavyAtomMolWt", "NOCount"]
-    d = featurize(order_molecules(spark, sf), cols, standardize="none")
+    d = each_text(order_molecules(spark, sf), lambda texts: featurize(texts, cols, standardize="none"))
     return d.select("mol_id", *(F.round(c, 3).alias(c) for c in cols))
 
 

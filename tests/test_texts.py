@@ -24,6 +24,7 @@ def test_each_text_once(spark, monkeypatch):
 #: Queries whose Python sees different texts alone.
 TEXTS = [
     "molecule_counts",
+    "molecule_descriptors",
 ]
 
 
