@@ -88,7 +88,7 @@ def molecule_default_set(spark: SparkSession, sf: str) -> DataFrame:
 
 def molecule_scaffolds(spark: SparkSession, sf: str) -> DataFrame:
     """How many molecules share each scaffold, and in how many ways they are written."""
-    d = scaffolds(order_molecules(spark, sf))
+    d = each_text(order_molecules(spark, sf), scaffolds)
     return d.groupBy("scaffold").agg(F.count("*").alias("n"), F.count_distinct("canonical").alias("n_different"))
 
 

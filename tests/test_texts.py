@@ -25,6 +25,7 @@ def test_each_text_once(spark, monkeypatch):
 TEXTS = [
     "molecule_counts",
     "molecule_descriptors",
+    "molecule_scaffolds",
 ]
 
 
