@@ -26,6 +26,7 @@ TEXTS = [
     "molecule_counts",
     "molecule_descriptors",
     "molecule_scaffolds",
+    "molecule_default_set",
 ]
 
 
