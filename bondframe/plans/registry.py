@@ -268,7 +268,8 @@ def pareto_front(spark: SparkSession, sf: str) -> DataFrame:
  SELECT CAST(draw AS INT) AS draw, round(median(v), 6) AS median FROM pk JOIN s USING (id) GROUP BY draw""")
 def bootstrap_medians(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").select((F.col("s_suppkey") - 1).alias("id"), F.col("s_acctbal").alias("v"))
-    return rounded(D.bootstrap_median(s, "id", "v", 20, min(100, s.count()), 7))
+    n = s.count()
+    return rounded(D.bootstrap_median(s, "id", "v", 20, min(100, n), n, 7))
 
 
 @query("WITH q AS (SELECT CAST(rint_q AS BIGINT) AS q, count(*) AS n FROM (SELECT round(l_discount * 100) AS rint_q FROM lineitem) GROUP BY 1), c AS (SELECT q, n, sum(n) OVER (ORDER BY q) AS cum FROM q) SELECT q, n, CAST(cum AS BIGINT) AS cum, cum > (SELECT floor(0.25 * sum(n)) FROM q) AS above FROM c")
