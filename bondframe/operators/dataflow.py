@@ -315,11 +315,11 @@ def pareto(df: DataFrame, cost: str, error: str) -> DataFrame:
     return df.withColumn("_b", best).filter(F.col("_b").isNull() | (F.col(error) < F.col("_b"))).drop("_b")
 
 
-def bootstrap_median(df: DataFrame, key: str, value: str, draws: int, places: int, n: int, seed: int) -> DataFrame:
-    """(draw, median) of ``draws`` resamples of so many places from n rows; place i of draw b takes row floor(u(b, i) n)."""
+def bootstrap_median(df: DataFrame, key: str, value: str, draws: int, n: int, seed: int) -> DataFrame:
+    """(draw, median) of ``draws`` resamples of n rows; place i of draw b takes row floor(u(b, i) n)."""
     spark = df.sparkSession
     u = draw_key(seed, F.concat_ws("-", "draw", "i"))
-    picks = spark.range(draws).select(F.col("id").cast("int").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("i"))
+    picks = spark.range(draws * n).selectExpr(f"cast(id div {max(n, 1)} as int) AS draw", f"id % {max(n, 1)} AS i")
     picks = picks.select("draw", F.floor(u * n).cast("bigint").alias(key))
     return picks.join(df.select(key, value), key).groupBy("draw").agg(F.median(value).alias("median"))
 

@@ -264,12 +264,11 @@ def pareto_front(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.pareto(c, "cost", "err"))
 
 
-@query("""WITH s AS (SELECT s_suppkey - 1 AS id, s_acctbal AS v FROM supplier), m AS (SELECT count(*) AS n FROM s), pk AS (SELECT draw, CAST(floor(CAST(concat('0x', substr(md5(concat('7:', draw, '-', i)), 1, 13)) AS BIGINT) / pow(2.0, 52) * n) AS BIGINT) AS id FROM m, range(0, 20) d(draw), range(0, 100) e(i) WHERE i < n)
+@query("""WITH s AS (SELECT s_suppkey - 1 AS id, s_acctbal AS v FROM supplier), m AS (SELECT count(*) AS n FROM s), pk AS (SELECT draw, CAST(floor(CAST(concat('0x', substr(md5(concat('7:', draw, '-', i)), 1, 13)) AS BIGINT) / pow(2.0, 52) * n) AS BIGINT) AS id FROM m, range(0, 20) d(draw), (SELECT unnest(range(n)) AS i FROM m) e)
  SELECT CAST(draw AS INT) AS draw, round(median(v), 6) AS median FROM pk JOIN s USING (id) GROUP BY draw""")
 def bootstrap_medians(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").select((F.col("s_suppkey") - 1).alias("id"), F.col("s_acctbal").alias("v"))
-    n = s.count()
-    return rounded(D.bootstrap_median(s, "id", "v", 20, min(100, n), n, 7))
+    return rounded(D.bootstrap_median(s, "id", "v", 20, s.count(), 7))
 
 
 @query("WITH q AS (SELECT CAST(rint_q AS BIGINT) AS q, count(*) AS n FROM (SELECT round(l_discount * 100) AS rint_q FROM lineitem) GROUP BY 1), c AS (SELECT q, n, sum(n) OVER (ORDER BY q) AS cum FROM q) SELECT q, n, CAST(cum AS BIGINT) AS cum, cum > (SELECT floor(0.25 * sum(n)) FROM q) AS above FROM c")
