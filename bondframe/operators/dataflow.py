@@ -257,15 +257,47 @@ def usable(cells: DataFrame, finite: float = 0.5, share: float = 0.999) -> DataF
     return s.join(modal(cells.filter(ok)), "name").select("name", ((F.col("finite") >= finite) & (F.col("sd") > 0) & (F.col("share") <= share)).alias("usable"))
 
 
+def group_ranks(df: DataFrame, columns: list[str], group: str, key: str) -> DataFrame:
+    """(group, r0, r1, ..): each row's ordinal ranks by the columns inside its group, ties by key.
+
+    Rows are numbered by key first, so that no other order carries it. Every
+    order is that of ranges of about RANGE_ROWS rows, sorted and written; a
+    rank is the place in the range, shifted by the ranges before it. No task
+    has a whole group.
+    """
+    values = [f"_v{i}" for i in range(len(columns))]
+    out = df.select(F.col(group).alias("_g"), F.col(key).alias("_k"), *(F.col(c).alias(v) for c, v in zip(columns, values)))
+    out = places(out, ["_k"], "_id", drop=["_k"])
+    for i, v in enumerate(values):
+        out = places(out, ["_g", v, "_id"], f"r{i}", drop=[v])
+    first = out.groupBy(F.col("_g").alias("_h")).agg(*(F.min(f"r{i}").alias(f"_f{i}") for i in range(len(columns))))
+    return out.join(F.broadcast(first), F.col("_g").eqNullSafe(F.col("_h"))).select(F.col("_g").alias(group), *((F.col(f"r{i}") - F.col(f"_f{i}") + 1).alias(f"r{i}") for i in range(len(columns))))  # first has a row for each group
+
+
+def places(df: DataFrame, order: list[str], name: str, drop: list[str]) -> DataFrame:
+    """``df`` without ``drop``, with each row's 0-based place in ``order``, which must tell rows apart."""
+    parts = max(1, -(-df.count() // RANGE_ROWS))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.monotonically_increasing_id())
+    # numbers of a sorted range go on by one, in the lower 33 bits, under the range's number
+    ranged = cut(ranged.drop(*drop), "places").withColumn("_b", F.shiftright("_p", 33))
+    sizes = ranged.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    return ranged.join(F.broadcast(before), "_b").withColumn(name, F.col("_p").bitwiseAND(2**33 - 1) + F.col("_s")).drop("_b", "_p", "_s")  # before has a row for each range
+
+
 def rank_correlation(df: DataFrame, a: str, b: str, group: str, key: str) -> DataFrame:
     """The least absolute correlation of ordinal ranks over the groups; groups under 30 rows count as 0.
 
     Ties are ranked by key, as an ordering of rows does.
     """
-    ra = F.row_number().over(Window.partitionBy(group).orderBy(a, key))
-    rb = F.row_number().over(Window.partitionBy(group).orderBy(b, key))
-    r = df.select(group, ra.alias("ra"), rb.alias("rb")).groupBy(group).agg(F.count("*").alias("n"), F.abs(F.corr("ra", "rb")).alias("r"))
-    return r.agg(F.min(F.when(F.col("n") >= 30, F.coalesce("r", F.lit(0.0))).otherwise(0.0)).alias("rho_min"), F.count("*").alias("n_groups"))
+    return least_correlations(group_ranks(df, [a, b], group, key), [("r0", "r1")], group).select(F.col("rho_0").alias("rho_min"), "n_groups")
+
+
+def least_correlations(ranks: DataFrame, pairs: list[tuple[str, str]], group: str) -> DataFrame:
+    """(rho_0, rho_1, .., n_groups) of pairs of columns of ``group_ranks``, in one pass."""
+    r = ranks.groupBy(group).agg(F.count("*").alias("n"), *(F.abs(F.corr(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    least = (F.min(F.when(F.col("n") >= 30, F.coalesce(f"c{i}", F.lit(0.0))).otherwise(0.0)).alias(f"rho_{i}") for i in range(len(pairs)))
+    return r.agg(*least, F.count("*").alias("n_groups"))
 
 
 def support_overlap(df: DataFrame, a: Column, b: Column) -> DataFrame:
