@@ -372,7 +372,9 @@ def column_cover(spark: SparkSession, sf: str) -> DataFrame:
     o = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     li = table(spark, sf, "lineitem").withColumn("k", F.struct(*o)).withColumn("twice", F.col("l_extendedprice") * 2)
     cols = ["l_quantity", "l_extendedprice", "twice", "l_discount"]
-    pairs = [(a, b, D.rank_correlation(li, a, b, "l_linenumber", "k").first()["rho_min"]) for i, a in enumerate(cols) for b in cols[:i]]
+    at = [(i, j) for i in range(len(cols)) for j in range(i)]
+    rho = D.least_correlations(D.group_ranks(li, cols, "l_linenumber", "k"), [(f"r{i}", f"r{j}") for i, j in at], "l_linenumber").first()
+    pairs = [(cols[i], cols[j], rho[f"rho_{k}"]) for k, (i, j) in enumerate(at)]
     kept = D.greedy_cover(pairs, {c: float(i) for i, c in enumerate(cols)}, 0.99)
     return spark.createDataFrame(sorted(kept.items()), "name string, survivor string")
 

@@ -22,7 +22,7 @@ def test_group_ranks_over_ranges(spark, monkeypatch):
     assert sorted((str(x.g), x.r0, x.r1) for x in D.group_ranks(d, ["a", "b"], "g", "key").collect()) == want
 
 
-@pytest.mark.parametrize("name", ["rank_correlation_min"])
+@pytest.mark.parametrize("name", ["rank_correlation_min", "column_cover"])
 def test_no_task_has_a_group(spark, monkeypatch, name):
     """Of 6,000 lines in seven groups no written range has more than a few hundred."""
     monkeypatch.setattr(D, "RANGE_ROWS", 200)
