@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from .components import components, tasks_for
 
 NAN = float("nan")
 
@@ -214,19 +215,14 @@ def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 def linked_groups(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, grp): the smallest node that each node is linked with, directly or by others.
 
-    Rounds of neighbour minima with a jump to the minimum's minimum, each
-    written, until no label changes.
+    By contraction (see ``components``), in tasks that don't grow with the
+    links: no row moves by the label that a whole group shares until the
+    labels are known, and then it meets partial minima alone.
     """
-    both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(b, a)).distinct(), "links")
-    lab = cut(both.select(F.col("x").alias("node")).distinct().withColumn("grp", F.col("node")), "groups")
-    while True:
-        low = both.join(lab.select(F.col("node").alias("y"), "grp"), "y").groupBy(F.col("x").alias("node")).agg(F.min("grp").alias("m"))
-        new = lab.join(low, "node").select("node", F.col("grp").alias("old"), F.least("grp", "m").alias("grp"))
-        up = new.select(F.col("node").alias("grp"), F.col("grp").alias("top"))
-        new = cut(new.join(up, "grp").select("node", "old", F.col("top").alias("grp")), "groups")
-        if new.filter("old <> grp").isEmpty():
-            return new.select("node", "grp")
-        lab = new.select("node", "grp")
+    with tasks_for(links.sparkSession, 2 * links.count()):
+        out = cut(components(links, a, b), "groups")
+        alone = links.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct().join(out, "node", "left_anti")
+        return out.select("node", F.col("component").alias("grp")).union(cut(alone, "alone").select("node", F.col("node").alias("grp")))
 
 
 # --- columns

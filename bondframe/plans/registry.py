@@ -356,7 +356,9 @@ def pair_links(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def pair_components(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs that share a member, directly or by others, are one group: no group is split. A recursive SQL over the whole table doesn't end."""
-    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000).alias("b")).distinct()
+    li = table(spark, sf, "lineitem")
+    apart = max(100_000, 10 ** len(str(li.agg(F.max("l_suppkey")).first()[0] or 0)))  # numbers of parts start beyond those of suppliers
+    e = li.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + apart).alias("b"))
     return D.linked_groups(e, "a", "b")
 
 
