@@ -8,11 +8,15 @@ columns or groups, which each operator names.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from ..ship import map_arrow
 from .components import components, tasks_for
 
 NAN = float("nan")
@@ -372,6 +376,69 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, 1 - dot(a, b) / norm).otherwise(F.lit(NAN))
 
 
+#: Blocks over which the rows of a group are dealt, and pairs that a step makes, about.
+SALTS = 32
+PAIRS = 1 << 18
+
+
+def cosine_pairs(df: DataFrame, group: str, key: str, vector: str, asked: Column) -> DataFrame:
+    """(a, b, cosine) of the rows that are asked for with all others of their group; NaN where one has no length, or lengths differ.
+
+    A group's rows are dealt to SALTS blocks, and those asked for sent to
+    each, so no task has a whole group. A block's rows stream past the asked
+    ones in steps of about PAIRS pairs; memory is that of the asked of a group.
+    """
+    x = df.filter(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("g"), F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"), asked.alias("asked"))
+    salt = F.lit(SALTS)
+    rows = x.select("g", F.pmod(F.xxhash64("k"), salt).alias("block"), F.lit(1).alias("kind"), "k", "v")
+    rows = rows.unionByName(x.filter("asked").select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), (salt - 1).cast("bigint"))).alias("block"), F.lit(0).alias("kind"), "k", "v"))
+    most = PAIRS
+
+    def vectors(b: pa.RecordBatch) -> list:
+        """(length, rows, vectors) of each length; none of those that are unknown."""
+        v = b.column("v").to_pylist()
+        size = np.array([len(e) if e is not None and None not in e else 0 for e in v])
+        return [(n, at, np.array([v[i] for i in at])) for n in np.unique(size[size > 0]) for at in [np.flatnonzero(size == n)]]
+
+    def cosines(known: list, ids: np.ndarray, batch: list, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, most // max(1, len(ids)))
+        for low in range(0, len(keys), step):
+            out = np.full((min(step, len(keys) - low), len(ids)), np.nan)
+            for n, at, v in batch:
+                here = (at >= low) & (at < low + step)
+                for m, to, q in known:
+                    if n == m and here.any():
+                        y = v[here]
+                        out[np.ix_(at[here] - low, to)] = 1 - (y @ q.T) / (np.sqrt((y * y).sum(1))[:, None] * np.sqrt((q * q).sum(1)))
+            r, c = np.nonzero(keys[low : low + step, None] != ids[None, :])
+            yield pa.record_batch([pa.array(ids[c]), pa.array(keys[low + r]), pa.array(out[r, c])], names=["a", "b", "cosine"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked_, known, ids = None, [], None, None
+        with np.errstate(all="ignore"):
+            for b in batches:
+                mark = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("code", "block", "kind")])
+                edges = [0, *(np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+                for low, high in zip(edges, edges[1:]):
+                    if low == high:
+                        continue
+                    part, place = b.slice(low, high - low), tuple(mark[:2, low])
+                    if place != at:
+                        at, asked_, known = place, [], None
+                    if mark[2, low] == 0:
+                        asked_.append(part)
+                    elif asked_:
+                        if known is None:
+                            all_ = pa.Table.from_batches(asked_).combine_chunks().to_batches()[0]
+                            known, ids = vectors(all_), all_.column("k").to_numpy()
+                        yield from cosines(known, ids, vectors(part), part.column("k").to_numpy())
+
+    # a number keeps adaptive execution from packing the blocks into few tasks by their bytes: their work is in the pairs
+    tasks = max(4 * SALTS, df.sparkSession.sparkContext.defaultParallelism)
+    dealt = rows.withColumn("code", F.xxhash64("g")).repartition(tasks, "code", "block").sortWithinPartitions("code", "block", "kind").select("code", "block", "kind", "k", "v")
+    return map_arrow(dealt, run, "a bigint, b bigint, cosine double")
+
+
 def agreement(df: DataFrame, a: str, b: str, tol: float = 1e-9) -> DataFrame:
     """Cells that are equal, within a relative tolerance, or NaN on one side alone."""
     na, nb = F.isnan(a), F.isnan(b)

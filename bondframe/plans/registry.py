@@ -32,10 +32,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-#: Blocks over which the rows of a label are dealt.
-SALTS = 32
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -509,15 +505,8 @@ def standardized_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings) SELECT a.id AS a, b.id AS b, round(1 - list_cosine_similarity(a.x, b.x), 5) + 0.0 AS cosine FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id WHERE a.id % 50 = 0")
 def cosine_distances(spark: SparkSession, sf: str) -> DataFrame:
-    """Distances of the vectors with an id divisible by 50, the queries, from all others of their label.
-
-    A label's rows are dealt to SALTS blocks, and its queries sent to each:
-    no task has a whole label.
-    """
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    rows = e.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    asked = e.filter("b % 50 = 0").select(F.col("b").alias("a"), "label", F.col("y").alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("block"))
-    return rounded(asked.join(rows, ["label", "block"]).filter("a <> b").select("a", "b", D.cosine(F.col("x"), F.col("y")).alias("cosine")), 5)
+    """Distances of the vectors with an id divisible by 50, the queries, from all others of their label."""
+    return rounded(D.cosine_pairs(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", F.col("vec_id") % 50 == 0), 5)
 
 
 @query("WITH s AS (SELECT label, k, sum(v::DOUBLE) AS s FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k), d AS (SELECT vec_id, e.label, sum(v::DOUBLE * (s.s - v::DOUBLE)) AS dot FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) e JOIN s ON s.label = e.label AND s.k = e.k GROUP BY vec_id, e.label) SELECT label, count(*) AS n, round(avg((dot > 0)::INT), 6) AS consistency FROM d GROUP BY label")
