@@ -223,7 +223,9 @@ def linked_groups(links: DataFrame, a: str, b: str) -> DataFrame:
     links: no row moves by the label that a whole group shares until the
     labels are known, and then it meets partial minima alone.
     """
-    with tasks_for(links.sparkSession, 2 * links.count()):
+    with tasks_for(links.sparkSession, 2 * links.count()) as tasks:
+        # small parts first: what a scan's part has of different links would be held at once
+        links = links.repartition(tasks, a, b)
         out = cut(components(links, a, b), "groups")
         alone = links.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct().join(out, "node", "left_anti")
         return out.select("node", F.col("component").alias("grp")).union(cut(alone, "alone").select("node", F.col("node").alias("grp")))
